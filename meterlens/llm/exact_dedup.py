@@ -95,7 +95,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     an empty result; other columns are ignored.
     """
     known = block_names(docs, id_col, text_col, block_bytes, address_bits)
-    groups = known.groupBy("level", "name").agg(F.min("doc").alias("keep_id"), F.sum("copies").alias("group_size"))
-    rows = known.join(groups, ["level", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    kept = F.col("doc").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
-    return rows.select(F.col("doc").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    groups = known.groupBy("level", "name").agg(F.min("doc").alias("least"), F.sum("copies").alias("size"))
+    groups = stored(groups.filter("size > 1"), "groups")  # a table of its own: AQE can then split a group's rows
+    rows = known.join(groups, ["level", "name"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    alone = F.col("size").isNull()
+    kept = alone | (F.col("doc").eqNullSafe(F.col("least")) & (F.col("copy") == 1))
+    keep_id = F.when(alone, F.col("doc")).otherwise(F.col("least"))
+    return rows.select(F.col("doc").alias(id_col), keep_id.alias("keep_id"), F.coalesce("size", F.lit(1)).alias("group_size"), kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
