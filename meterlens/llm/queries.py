@@ -8,14 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import exact_duplicates
+from .mixing import mixed
+from .packing import packed
+from .quality_rules import quality
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents")).drop("host_rate")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_mixing": op5_mixing,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_packing": op10_packing,
 }
 
 ORACLE: dict[str, str] = {
@@ -24,4 +42,27 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    "op8_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+        win AS (SELECT rid, i, list_slice(ws, i, i + 7) AS win
+                FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+        again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM win) WHERE c > 1),
+        rep AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM again) GROUP BY rid),
+        lines AS (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d),
+        dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+        s AS (SELECT d.doc_id, d.source, len(w.ws) AS n_words,
+                     length(regexp_replace(d.t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+                     length(regexp_replace(d.t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+                     coalesce(dup.n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n_repeat_words, 0) AS n_repeat_words
+              FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
+        h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS k FROM f GROUP BY source),
+        m AS (SELECT sum(k) / sum(n) AS mu, sum(k * k / n) / sum(n) AS sq, count(*) / sum(n) AS inv FROM h),
+        p AS (SELECT mu, CASE WHEN sq - mu * mu - inv * mu * (1 - mu) > 1e-12
+                              THEN least(greatest(mu * (1 - mu) / (sq - mu * mu - inv * mu * (1 - mu)) - 1, 1.0), 1e4) ELSE 1e4 END AS strength FROM m),
+        v AS (SELECT source, (k + mu * strength) / (n + strength) AS rate, n + strength AS weight FROM h, p)
+        SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
+               NOT f.base_failed AND NOT (v.rate - 2 * sqrt(v.rate * (1 - v.rate) / (v.weight + 1)) > 0.5) AS kept
+        FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
 }
