@@ -23,7 +23,7 @@ from .common import stored, word_count
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
-BLOCK = 20_000
+BLOCK = 4096
 EPS = 1e-9
 
 
@@ -50,9 +50,10 @@ def flight(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
     """Probabilities after the flight phase: all but two at most are 0 or 1, and the sums of p and of p * size hold.
 
     Three undecided documents at a time: two equations leave one direction to move in.
+    The longest documents go first, so that those left undecided are short.
     """
     p, rng = [float(x) for x in p], np.random.default_rng(seed)
-    order = rng.permutation(len(p)).tolist()
+    order = np.argsort(-np.asarray(size, float), kind="stable").tolist()
     draws = iter(rng.random(len(p) + 3).tolist())  # each step decides one document at least
     size = [float(x) for x in size]
     at, active = 0, []
