@@ -64,3 +64,9 @@ def space_normalised(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def values(column, rows: int = 500):
+    """An Arrow column's values as Python objects, few at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()

@@ -25,17 +25,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, stored, values
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
 #: Shingles that are ordered last: as many at most; which ones decides on speed alone.
-COMMON = 65_536
+COMMON = 524_288
 #: Shingles counted at a time, and how often one must occur among them to be reported.
-COUNT_CHUNK, COUNT_LEAST = 2_000_000, 3
-STAR_ROUNDS = 3
-WORDS_KEPT = 500_000
+COUNT_CHUNK, COUNT_LEAST = 4_000_000, 2
+STAR_ROUNDS = 2
+WORDS_KEPT = 200_000
+#: What comparing two sets costs, in entries emitted.
+COMPARE = 2
 
 
 class _Hashes(dict):
@@ -83,7 +85,7 @@ def boundary(mean_list: float, percent: int, most: int = 4096) -> int:
     best = 0
     for n in range(1, most + 1):
         p = prefix(n, percent, 2)
-        if p * (p - 1) / 2 <= prefix(n, percent) * mean_list:
+        if p * (p - 1) / 2 <= COMPARE * prefix(n, percent) * mean_list:
             best = n
         elif best and n > best + 8:
             break
@@ -122,7 +124,7 @@ def _count(size: int):
             return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n.astype(np.int64)), pa.array(np.append(np.zeros(len(sig) - 1, bool), True))], names=["sig", "n", "all"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in values(batch.column(0)):
                 found = shingles(text, size)
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 if digest in seen:
@@ -144,7 +146,7 @@ def _sets(size: int, percent: int, light: int, common: np.ndarray, rank: np.ndar
         seen: set[bytes] = set()
         for batch in batches:
             ns, digests, sigs, ends = [], [], [], [0]
-            for text in batch.column(2).to_pylist():
+            for text in values(batch.column(2)):
                 found = shingles(text, size)
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
                 own = np.zeros(0, np.uint64) if digest in seen else signatures(found, common, rank, light, percent)
@@ -164,12 +166,11 @@ def _links(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, np.zeros(0, np.uint64)
         for batch in batches:
-            a, b, left, right = (batch.column(i).to_pylist() for i in range(4))
             keep = []
-            for i in range(len(a)):
-                if a[i] != last:
-                    last, known = a[i], shingles(left[i], size)
-                other = shingles(right[i], size)
+            for i, (a, left, right) in enumerate(zip(*(values(batch.column(k)) for k in (0, 2, 3)))):
+                if a != last:
+                    last, known = a, shingles(left, size)
+                other = shingles(right, size)
                 both = len(np.intersect1d(known, other, assume_unique=True))
                 if 100 * both >= percent * (len(known) + len(other) - both):
                     keep.append(i)
@@ -196,11 +197,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     counted = stored(own.select("text").mapInArrow(_count(size), "sig long, n long, all boolean"), "shingle-counts")
     total = counted.filter("all").agg(F.sum("n")).first()[0] or 0
-    often = counted.filter("not all").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(COMMON).toPandas()
+    counts = counted.filter("not all").groupBy("sig").agg(F.sum("n").alias("n"))
+    often = counts.orderBy(F.desc("n"), "sig").limit(COMMON).toPandas()
     hashes, n = often["sig"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.float64)
     order = np.argsort(hashes)
     common, rank = hashes[order], np.argsort(np.lexsort((hashes, n)))[order]
-    light = boundary(1 + float((n * n).sum()) / max(total, 1), percent)
+    squares = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
+    light = boundary(1 + max(0.0, squares - float((n * n).sum())) / max(total, 1), percent)  # of lists of shingles that are not ordered last
     dropped(counted)
 
     sets = own.mapInArrow(_sets(size, percent, light, common, rank), f"doc {kind}, mark long, n long, digest binary, sigs array<long>")
@@ -226,7 +229,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     _release(spark)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         right = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
         whole = right.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
         return stored(whole.mapInArrow(_links(size, percent), "a long, b long"), name)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, values
 from .tokens import encoder
 
 WINDOW = 1024
@@ -84,7 +84,7 @@ def _pieces(name: str, window: int, end_id: int):
         part, ranks, own = TaskContext.get().partitionId(), [0] * (window + 1), encoder(name)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode(batch.column(1).to_pylist())):
+            for doc, ids in zip(values(batch.column(0)), own.encode(values(batch.column(1)))):
                 ids = np.concatenate([ids, tail])
                 raw = ids.astype("<u4").tobytes()
                 for start in range(0, len(ids), window):
