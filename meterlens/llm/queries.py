@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .exact_dedup import exact_duplicates
 from .jaccard_join import similarity_components
+from .line_dedup import line_duplicates
 from .mixing import mixed
 from .packing import packed
 from .quality_rules import quality
@@ -26,6 +27,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("host_rate")
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_packing": op10_packing,
 }
