@@ -13,6 +13,7 @@ from .line_dedup import line_duplicates
 from .mixing import mixed
 from .packing import packed
 from .quality_rules import quality
+from .warc import archived_pages
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(spark, table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_duplicates(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_mixing": op5_mixing,
+    "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op10_packing": op10_packing,
@@ -77,4 +83,12 @@ ORACLE: dict[str, str] = {
         SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
                NOT f.base_failed AND NOT (v.rate - 2 * sqrt(v.rate * (1 - v.rate) / (v.weight + 1)) > 0.5) AS kept
         FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
+    "op6_warc": r"""
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        q AS (SELECT page_id, octet_length(body) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+        r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM r""",
 }
