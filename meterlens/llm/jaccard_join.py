@@ -31,25 +31,22 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 #: Shingles that are ordered last: as many at most; which ones decides on speed alone.
-COMMON = 524_288
+COMMON = 1_500_000
 #: Shingles counted at a time, and how often one must occur among them to be reported.
 COUNT_CHUNK, COUNT_LEAST = 4_000_000, 2
 STAR_ROUNDS = 2
-WORDS_KEPT = 200_000
 #: What comparing two sets costs, in entries emitted.
 COMPARE = 2
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _Hashes()
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
+#: A word's hash: the sum over its bytes of random numbers, drawn for byte and place in the word.
+_PLACES = 64
+_RANDOM = np.frombuffer(np.random.Generator(np.random.PCG64(5)).bytes(_PLACES * 256 * 8), np.uint64)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,18 +54,76 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; with fewer words than a shingle has, of the whole sequence."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.array(list(map(_hashes.__getitem__, words)), np.uint64)
-    if len(h) < size:
-        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))], np.uint64)
-    total = h[: len(h) - size + 1] * _ODD[0]
-    for i in range(1, size):
-        total = total + h[i : len(h) - size + 1 + i] * _ODD[i % len(_ODD)] * np.uint64(2 * (i // len(_ODD)) + 1)
-    return np.unique(_mix(total))
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """64-bit hashes of each text's words, A-Z as a-z; for many texts at once."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    space = _SPACE[data]
+    where = np.flatnonzero(~space)
+    if not len(where):
+        return [np.zeros(0, np.uint64)] * len(texts)
+    first = np.flatnonzero(np.diff(where, prepend=-2) != 1)  # of each word, among its bytes in `where`
+    size = np.diff(first, append=len(where))
+    place = np.arange(len(where)) - np.repeat(first, size)
+    part = _RANDOM[((place & (_PLACES - 1)) << 8) + _LOWER[data[where]]]
+    if size.max() > _PLACES:
+        part = part * (2 * (place // _PLACES) + 1).astype(np.uint64)
+    hashes = _mix(np.add.reduceat(part, first) + size.astype(np.uint64))
+    return np.split(hashes, np.searchsorted(where[first], ends)[:-1])
+
+
+def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted 64-bit hashes of its distinct shingles; with fewer words than a shingle has, of all its words."""
+    out = []
+    for h in word_hashes(texts):
+        if len(h) < size:
+            out.append(np.array([xxhash.xxh3_64_intdigest(h.tobytes(), len(h))] if len(h) else [], np.uint64))
+            continue
+        total = h[: len(h) - size + 1] * _ODD[0]
+        for i in range(1, size):
+            total = total + h[i : len(h) - size + 1 + i] * (_ODD[i % len(_ODD)] * np.uint64(2 * (i // len(_ODD)) + 1))
+        total = _mix(total)
+        total.sort()
+        keep = np.empty(len(total), bool)
+        keep[0] = True
+        np.not_equal(total[1:], total[:-1], out=keep[1:])
+        out.append(total[keep])
+    return out
+
+
+def _groups(column, chars: int = 1_000_000) -> Iterator[list]:
+    """A column's texts, some at a time."""
+    held, n = [], 0
+    for text in values(column):
+        held.append(text)
+        n += len(text or "")
+        if n >= chars:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+class Common:
+    """Shingles ordered last and their order; a table of their first bits spares most searches."""
+
+    BITS = 24
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.rank = hashes[order], np.argsort(np.lexsort((hashes, counts))).astype(np.int32)[order]
+        self.near = np.zeros(1 << self.BITS, bool)
+        self.near[hashes >> np.uint64(64 - self.BITS)] = True
+
+    def ranks(self, found: np.ndarray) -> np.ndarray:
+        """The order of each shingle among those; -1: not one of them."""
+        out = np.full(len(found), -1, np.int32)
+        maybe = np.flatnonzero(self.near[found >> np.uint64(64 - self.BITS)])
+        if len(maybe):
+            at = np.minimum(np.searchsorted(self.hashes, found[maybe]), len(self.hashes) - 1)
+            out[maybe] = np.where(self.hashes[at] == found[maybe], self.rank[at], -1)
+        return out
 
 
 def _least_overlap(n: int, percent: int) -> int:
@@ -92,18 +147,17 @@ def boundary(mean_list: float, percent: int, most: int = 4096) -> int:
     return best
 
 
-def signatures(found: np.ndarray, common: np.ndarray, rank: np.ndarray, light: int, percent: int) -> np.ndarray:
-    """What a set is listed under. common: sorted hashes of frequent shingles, rank: their order."""
+def signatures(found: np.ndarray, common: Common, light: int, percent: int) -> np.ndarray:
+    """What a set is listed under."""
     n = len(found)
     if n < 3:  # links with its like only
         return np.zeros(0, np.uint64)
-    at = np.minimum(np.searchsorted(common, found), max(len(common) - 1, 0))
-    often = common[at] == found if len(common) else np.zeros(n, bool)
+    rank = common.ranks(found)
     need = prefix(n, percent, 2)
-    first = found[~often][:need]
+    first = found[rank < 0][:need]
     if len(first) < need:
-        late = found[often]
-        first = np.concatenate([first, late[np.argsort(rank[at[often]], kind="stable")][: need - len(first)]])
+        late = rank >= 0
+        first = np.concatenate([first, found[late][np.argsort(rank[late])][: need - len(first)]])
     out = []
     if n <= light:
         i, j = np.triu_indices(len(first), 1)
@@ -115,7 +169,7 @@ def signatures(found: np.ndarray, common: np.ndarray, rank: np.ndarray, light: i
 
 def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, many, seen, total = [], 0, set(), 0
+        held, many, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
             hashes, counts = np.unique(np.concatenate(held or [np.zeros(0, np.uint64)]), return_counts=True)
@@ -124,8 +178,7 @@ def _count(size: int):
             return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(n.astype(np.int64)), pa.array(np.append(np.zeros(len(sig) - 1, bool), True))], names=["sig", "n", "all"])
 
         for batch in batches:
-            for text in values(batch.column(0)):
-                found = shingles(text, size)
+            for found in (x for texts in _groups(batch.column(0)) for x in shingle_sets(texts, size)):
                 digest = xxhash.xxh3_128_digest(found.tobytes())
                 if digest in seen:
                     continue
@@ -141,15 +194,15 @@ def _count(size: int):
     return run
 
 
-def _sets(size: int, percent: int, light: int, common: np.ndarray, rank: np.ndarray):
+def _sets(size: int, percent: int, light: int, often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = Common(*often.value)
         seen: set[bytes] = set()
         for batch in batches:
             ns, digests, sigs, ends = [], [], [], [0]
-            for text in values(batch.column(2)):
-                found = shingles(text, size)
+            for found in (x for texts in _groups(batch.column(2)) for x in shingle_sets(texts, size)):
                 digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-                own = np.zeros(0, np.uint64) if digest in seen else signatures(found, common, rank, light, percent)
+                own = np.zeros(0, np.uint64) if digest in seen else signatures(found, common, light, percent)
                 seen.add(digest)
                 ns.append(len(found))
                 digests.append(digest)
@@ -167,10 +220,10 @@ def _links(size: int, percent: int):
         last, known = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
-            for i, (a, left, right) in enumerate(zip(*(values(batch.column(k)) for k in (0, 2, 3)))):
+            rows = zip(values(batch.column(0)), values(batch.column(2)), (x for texts in _groups(batch.column(3)) for x in shingle_sets(texts, size)))
+            for i, (a, left, other) in enumerate(rows):
                 if a != last:
-                    last, known = a, shingles(left, size)
-                other = shingles(right, size)
+                    last, known = a, shingle_sets([left], size)[0]
                 both = len(np.intersect1d(known, other, assume_unique=True))
                 if 100 * both >= percent * (len(known) + len(other) - both):
                     keep.append(i)
@@ -200,13 +253,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     counts = counted.filter("not all").groupBy("sig").agg(F.sum("n").alias("n"))
     often = counts.orderBy(F.desc("n"), "sig").limit(COMMON).toPandas()
     hashes, n = often["sig"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.float64)
-    order = np.argsort(hashes)
-    common, rank = hashes[order], np.argsort(np.lexsort((hashes, n)))[order]
+    shared = spark.sparkContext.broadcast((hashes, n))
     squares = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
     light = boundary(1 + max(0.0, squares - float((n * n).sum())) / max(total, 1), percent)  # of lists of shingles that are not ordered last
     dropped(counted)
 
-    sets = own.mapInArrow(_sets(size, percent, light, common, rank), f"doc {kind}, mark long, n long, digest binary, sigs array<long>")
+    sets = own.mapInArrow(_sets(size, percent, light, shared), f"doc {kind}, mark long, n long, digest binary, sigs array<long>")
     sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     copies = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("rows"))
     copies = stored(copies.filter("rows > 1").drop("rows"), "copies")
@@ -234,24 +286,28 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         whole = right.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
         return stored(whole.mapInArrow(_links(size, percent), "a long, b long"), name)
 
-    links, labels, joined = None, None, None
+    links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
         now = lists if labels is None else lists.join(labels, lists["class"] == labels["node"], "left")
         now = now.select("sig", "class", "n", (F.col("class") if labels is None else F.coalesce("component", "class")).alias("label"))
         pivot = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("mixed"), "class", "n", "label"))
         heads = now.groupBy("sig").agg(pivot.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        if turn < STAR_ROUNDS:
-            heads = heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel"))
-        else:
-            open_lists = now.join(heads.select("sig"), "sig", "left_semi")
-            heads = open_lists.select("sig", F.col("class").alias("a"), F.col("n").alias("an"), F.col("label").alias("alabel"))
-        heads = stored(heads, "pivots")
+        heads = stored(heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")), "pivots")
         if not heads.limit(1).count():
             break
-        pairs = now.join(heads, "sig").filter((F.col("label") != F.col("alabel")) & _close(F.col("n"), F.col("an"), percent))
-        if turn == STAR_ROUNDS:
-            pairs = pairs.filter("a < class")
-        found = verified(pairs.select("a", F.col("class").alias("b")), f"links-{turn}")
+        different = (F.col("label") != F.col("alabel")) & _close(F.col("n"), F.col("an"), percent)
+        if turn < STAR_ROUNDS:
+            pairs = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")).distinct()
+        else:
+            still = stored(now.join(heads.select("sig"), "sig", "left_semi"), "open-lists")
+            one = still.select("sig", F.col("class").alias("a"), F.col("n").alias("an"), F.col("label").alias("alabel"))
+            pairs = still.join(one, "sig").filter((F.col("a") < F.col("class")) & different)
+            pairs = pairs.groupBy("a", F.col("class").alias("b"), "an", "n").agg(F.count("*").alias("met"))
+            # Of a set, all but its first elements may be shared too: see prefix().
+            most = F.col("met") + F.ceil(percent * F.greatest("n", "an") / 100) - 1
+            enough = (100 + percent) * most >= percent * (F.col("n") + F.col("an"))
+            pairs = pairs.filter(enough | (F.least("n", "an") <= light)).select("a", "b")
+        found = verified(pairs, f"links-{turn}")
         links = found if links is None else links.unionByName(found)
         if not found.limit(1).count():
             continue
