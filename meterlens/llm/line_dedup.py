@@ -96,7 +96,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = stored(met.groupBy("doc", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("met")), "met")
     dropped(windows)
     dropped(often)
-    with_text = own.filter("text is not null").join(met.select(F.col("doc").alias("of"), F.col("mark").alias("marked"), "met"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
+    with_text = own.filter("text is not null").join(met.select(F.col("doc").alias("of"), F.col("mark").alias("marked"), "met").hint("merge"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
     chunks = with_text.select("doc", "mark", "text", "met").mapInArrow(_cut(min_words), f"doc {kind}, mark long, start int, end int, sum long, chunk string")
     chunks = stored(chunks.distinct(), "chunks")  # rows that repeat id and text are one document
     first = F.min(F.struct(F.isnull("doc").alias("none"), "doc", "mark", "start"))
@@ -116,7 +116,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spans = repeated_spans(docs, id_col, text_col, min_words)
     same = docs[id_col].eqNullSafe(spans["doc"]) & (F.xxhash64(docs[text_col]) == spans["mark"])
-    rows = docs.join(spans, same, "left")
+    rows = docs.join(spans.hint("merge"), same, "left")  # spans grow with docs: no broadcast at any size
     gone = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
     clean = F.array_join(F.filter(_lines(docs[text_col]), lambda _, i: ~gone(i)), "\n")
     lost = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
