@@ -12,6 +12,7 @@ from .jaccard_join import similarity_components
 from .line_dedup import line_duplicates
 from .mixing import mixed
 from .packing import packed
+from .pii import personal_data
 from .quality_rules import quality
 from .toxicity import toxicity
 from .warc import archived_pages
@@ -45,6 +46,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_pii": op9_pii,
     "op10_packing": op10_packing,
 }
 
