@@ -251,8 +251,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     counted = stored(own.select("text").mapInArrow(_count(size), "sig long, n long, all boolean"), "shingle-counts")
     total = counted.filter("all").agg(F.sum("n")).first()[0] or 0
     counts = counted.filter("not all").groupBy("sig").agg(F.sum("n").alias("n"))
-    often = counts.orderBy(F.desc("n"), "sig").limit(COMMON).toPandas()
-    hashes, n = often["sig"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.float64)
+    counts = stored(counts, "counts")
+    # The least count that no more than COMMON shingles reach: found from how many have which count, without sorting them.
+    by_count = sorted(((r["n"], r["many"]) for r in counts.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True)
+    reached = np.cumsum([many for _, many in by_count] or [0])
+    fits = int((reached <= COMMON).sum()) if by_count else 0
+    often = counts.filter(F.col("n") >= (by_count[fits - 1][0] if fits else 1 << 62)).toArrow()
+    hashes, n = often["sig"].to_numpy().view(np.uint64), often["n"].to_numpy().astype(np.float64)
     shared = spark.sparkContext.broadcast((hashes, n))
     squares = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
     light = boundary(1 + max(0.0, squares - float((n * n).sum())) / max(total, 1), percent)  # of lists of shingles that are not ordered last

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from .common import new_folder, stored, values
+from .common import file_system, new_folder, stored, values
 
 SCHEMA = "type string, record_id string, target_uri string, date string, refers_to string, digest string, content_type string, payload_length long, headers map<string,string>, payload binary"
 #: Columns that conditions are pushed down to, with their header.
@@ -34,15 +34,6 @@ SPLIT_BYTES, FILE_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 256 << 20, 1000, 8
 LEVEL = 6
 
 
-def _place(path: str):
-    """(file system, path there); any store that pyarrow reaches."""
-    from pyarrow import fs
-
-    if "://" not in path and not path.startswith("file:"):
-        return fs.LocalFileSystem(), path
-    return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-
-
 def member(record: bytes) -> bytes:
     """A gzip member that names its own length."""
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, -15)
@@ -194,7 +185,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[Files]:
         from pyarrow import fs
 
-        store, path = _place(self.path)
+        store, path = file_system(self.path)
         found = store.get_file_info(fs.FileSelector(path, recursive=True)) if store.get_file_info(path).type == fs.FileType.Directory else [store.get_file_info(path)]
         found = [x for x in found if x.type == fs.FileType.File]
         lists = [x for x in found if x.base_name == "_manifest.json"]
@@ -211,7 +202,7 @@ class WarcReader(DataSourceReader):
         return [Files(names) for _, names in plan] or [Files([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        store, _ = _place(self.path)
+        store, _ = file_system(self.path)
         kinds = {"payload_length": pa.int64(), "payload": pa.binary(), "headers": pa.map_(pa.string(), pa.string())}
         rows, held = [], 0
 
@@ -252,7 +243,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.names = options["path"], schema.fieldNames()
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        store, path = _place(self.path)
+        store, path = file_system(self.path)
         store.create_dir(path, recursive=True)
         names: list[str] = []
         out, size = None, 0
@@ -272,14 +263,14 @@ class WarcWriter(DataSourceArrowWriter):
         return Written(names)
 
     def commit(self, messages: list) -> None:
-        store, path = _place(self.path)
+        store, path = file_system(self.path)
         store.create_dir(path, recursive=True)
         names = sorted(n for m in messages if m is not None for n in m.names)
         with store.open_output_stream(f"{path}/_manifest.json") as out:
             out.write(json.dumps(names).encode())
 
     def abort(self, messages: list) -> None:
-        store, path = _place(self.path)
+        store, path = file_system(self.path)
         for name in (n for m in messages if m is not None for n in m.names):
             store.delete_file(f"{path}/{name}")
 
