@@ -278,6 +278,14 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lists = stored(lists.select("sig", "class", "n").distinct(), "lists")
     dropped(sets)
     _release(spark)
+    # Lists with the same members (all shingles of a passage, say) become one, with their number as its weight.
+    member = lambda seed: F.bit_xor(F.xxhash64("class", F.lit(seed)))
+    alike = lists.groupBy("sig").agg(member(1).alias("x"), member(2).alias("y"), F.count("*").alias("k")).filter("k > 1")
+    alike = stored(alike.groupBy("x", "y", "k").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "weight"), "alike")
+    each = lists
+    lists = stored(each.join(alike, "sig"), "merged-lists")
+    dropped(each)
+    _release(spark)
 
     # The text of one document of each class that stands in a list.
     listed = lists.select("class").distinct().join(classes.filter("row = class"), "class").select("class", F.col("doc").alias("of"), F.col("mark").alias("marked"))
@@ -294,7 +302,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
         now = lists if labels is None else lists.join(labels, lists["class"] == labels["node"], "left")
-        now = now.select("sig", "class", "n", (F.col("class") if labels is None else F.coalesce("component", "class")).alias("label"))
+        now = now.select("sig", "class", "n", "weight", (F.col("class") if labels is None else F.coalesce("component", "class")).alias("label"))
         pivot = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("mixed"), "class", "n", "label"))
         heads = now.groupBy("sig").agg(pivot.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         heads = stored(heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")), "pivots")
@@ -305,14 +313,16 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             pairs = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")).distinct()
         else:
             still = stored(now.join(heads.select("sig"), "sig", "left_semi"), "open-lists")
+            _release(spark)
             one = still.select("sig", F.col("class").alias("a"), F.col("n").alias("an"), F.col("label").alias("alabel"))
             pairs = still.join(one, "sig").filter((F.col("a") < F.col("class")) & different)
-            pairs = pairs.groupBy("a", F.col("class").alias("b"), "an", "n").agg(F.count("*").alias("met"))
+            pairs = pairs.groupBy("a", F.col("class").alias("b"), "an", "n").agg(F.sum("weight").alias("met"))
             # Of a set, all but its first elements may be shared too: see prefix().
             most = F.col("met") + F.ceil(percent * F.greatest("n", "an") / 100) - 1
             enough = (100 + percent) * most >= percent * (F.col("n") + F.col("an"))
             pairs = pairs.filter(enough | (F.least("n", "an") <= light)).select("a", "b")
         found = verified(pairs, f"links-{turn}")
+        _release(spark)
         links = found if links is None else links.unionByName(found)
         if not found.limit(1).count():
             continue
