@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,19 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Few rows in an Arrow batch from now on: texts are long, and a batch is held by the JVM and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans whose results are stored by now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

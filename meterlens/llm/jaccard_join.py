@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, values
+from .common import bounded_batches, dropped, released, stored, values
 from .components import components
 
 SHINGLE = 5
@@ -33,7 +33,7 @@ PERCENT = 75
 #: Shingles that are ordered last: as many at most; which ones decides on speed alone.
 COMMON = 1_500_000
 #: Shingles counted at a time, and how often one must occur among them to be reported.
-COUNT_CHUNK, COUNT_LEAST = 4_000_000, 2
+COUNT_CHUNK, COUNT_LEAST = 2_000_000, 2
 STAR_ROUNDS = 2
 #: What comparing two sets costs, in entries emitted.
 COMPARE = 2
@@ -244,6 +244,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     unless all its ids are null. Repeated rows have equal sets and so link. An empty
     table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
@@ -277,7 +278,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     lists = lists.filter("before is not null or after is not null").join(classes.select("row", "class", "n"), "row")
     lists = stored(lists.select("sig", "class", "n").distinct(), "lists")
     dropped(sets)
-    _release(spark)
+    released(spark)
     # Lists with the same members (all shingles of a passage, say) become one, with their number as its weight.
     member = lambda seed: F.bit_xor(F.xxhash64("class", F.lit(seed)))
     alike = lists.groupBy("sig").agg(member(1).alias("x"), member(2).alias("y"), F.count("*").alias("k")).filter("k > 1")
@@ -285,13 +286,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     each = lists
     lists = stored(each.join(alike, "sig"), "merged-lists")
     dropped(each)
-    _release(spark)
+    released(spark)
 
     # The text of one document of each class that stands in a list.
     listed = lists.select("class").distinct().join(classes.filter("row = class"), "class").select("class", F.col("doc").alias("of"), F.col("mark").alias("marked"))
     texts = own.join(listed, own["doc"].eqNullSafe(listed["of"]) & (own["mark"] == listed["marked"]))
     texts = stored(texts.select("class", "text").dropDuplicates(["class"]), "texts")
-    _release(spark)
+    released(spark)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -313,7 +314,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             pairs = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")).distinct()
         else:
             still = stored(now.join(heads.select("sig"), "sig", "left_semi"), "open-lists")
-            _release(spark)
+            released(spark)
             one = still.select("sig", F.col("class").alias("a"), F.col("n").alias("an"), F.col("label").alias("alabel"))
             pairs = still.join(one, "sig").filter((F.col("a") < F.col("class")) & different)
             pairs = pairs.groupBy("a", F.col("class").alias("b"), "an", "n").agg(F.sum("weight").alias("met"))
@@ -322,12 +323,12 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             enough = (100 + percent) * most >= percent * (F.col("n") + F.col("an"))
             pairs = pairs.filter(enough | (F.least("n", "an") <= light)).select("a", "b")
         found = verified(pairs, f"links-{turn}")
-        _release(spark)
+        released(spark)
         links = found if links is None else links.unionByName(found)
         if not found.limit(1).count():
             continue
         labels = stored(components(links), "components")
-        _release(spark)
+        released(spark)
     if labels is None:
         joined = classes.select("doc", "n", F.col("class").alias("component"))
     else:
@@ -336,14 +337,6 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return joined.join(least, "component", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
 
-def _release(spark) -> None:
-    """Lets Spark delete the shuffle files of what is stored by now."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, all columns, of which each component keeps the one with the smallest id.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, values, word_count
+from .common import bounded_batches, dropped, stored, values, word_count
 
 MIN_WORDS = 10
 LONG_LINE = 50
@@ -88,6 +88,7 @@ def _cut(min_words: int):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document that loses lines: doc, mark (xxhash64 of its text), spans (start, end: lines that go)."""
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     windows = stored(_windows(own), "windows")

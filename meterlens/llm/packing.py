@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, values
+from .common import bounded_batches, stored, values
 from .tokens import encoder
 
 WINDOW = 1024
@@ -134,6 +134,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     A null or empty text is its end id alone. A null id stays null; repeated rows are
     packed as often as they occur. An empty table has no pieces; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"doc {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     pieces = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(_pieces(tokenizer, window, end_id), fields + ", part long, rank long")

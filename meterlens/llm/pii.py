@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .boosting import BoostedTrees
-from .common import values
+from .common import bounded_batches, values
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.
@@ -209,6 +209,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no spans. Null ids stay null, repeated rows repeat; an
     empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     some = own.select("text").filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= 20_000)).orderBy(F.xxhash64("text")).limit(sample)  # texts to learn from
     trees, limits = learn([r["text"] for r in some.toLocalIterator()])

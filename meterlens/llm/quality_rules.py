@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bounded_batches, stored
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -106,6 +106,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     Null and empty texts have no words and so fail; repeated rows count as often as
     they occur; an empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     seen = docs.select(F.col(id_col).alias("doc"), F.col(host_col).alias("host"), document_stats(text_col).alias("stats"))
     seen = stored(seen.select("doc", "host", "stats.*", base_failed().alias("failed")), "quality")
     verdicts = host_verdicts(_by_host(seen)).select(F.col("host").alias("of"), "rate", "rejected")
@@ -119,6 +120,7 @@ def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     Reads docs twice instead of shuffling texts: once for the hosts' counts, once for
     the rows. Nulls and repeated rows as in quality().
     """
+    bounded_batches(docs.sparkSession)
     stats = docs.select(F.col(host_col).alias("host"), document_stats(text_col).alias("stats"))
     verdicts = host_verdicts(_by_host(stats.select("host", base_failed().alias("failed"))))
     bad = verdicts.filter("rejected").select(F.col("host").alias("__bad_host"))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, stored, values
+from .common import bounded_batches, file_system, new_folder, stored, values
 from .range_coder import BLOCK, LANES, decode_blocks, encode_blocks
 from .tokens import encoder
 
@@ -136,6 +136,7 @@ def write_token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
     A null or empty text is its end id alone. An empty table writes no file.
     """
+    bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     own = own.repartitionByRange("doc").sortWithinPartitions("doc", "text")
     return stored(own.mapInArrow(_write(path, tokenizer, end_id), "part long, name string, ids long, docs long, blocks long, bytes long"), "id-files")

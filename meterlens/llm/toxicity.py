@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, values
+from .common import bounded_batches, stored, values
 
 # English word lists of the voters.
 INSULTS = "idiot moron stupid dumb imbecile fool loser clown pathetic worthless useless ugly coward liar jerk".split()
@@ -197,6 +197,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     held out nor learned from; a null label is none, and of several labels of one id
     toxic counts. Repeated rows get equal scores. An empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     weights, bias = learn(docs, labels, id_col, text_col, label_col, sample)
     score = F.pandas_udf(_score(weights, bias), "double")(F.col(text_col))
     rows = docs.select(F.col(id_col), held_out(F.col(id_col)).alias("held_out"), score.alias("score"))
