@@ -35,6 +35,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _SQUASH, _STRETCH = _tables()
+_AFTER_GROUP = (np.arange(_GROUPS + 1) > np.arange(_GROUPS)[:, None]).astype(np.int16)
+_AFTER = (np.arange(65) > np.arange(64)[:, None]).astype(np.int16)
 
 
 class Lanes:
@@ -47,7 +49,7 @@ class Lanes:
         self.place = np.zeros(n << 16, np.uint16)  # of an id among those met, from 1
         self.met = np.zeros(n * (BLOCK + 1), np.uint16)
         self.many = np.zeros(n, np.int64)
-        self.groups, self.within = np.zeros((n, _GROUPS + 1), np.int32), np.zeros((n, _GROUPS, 65), np.int16)
+        self.groups, self.within = np.zeros((n, _GROUPS + 1), np.int16), np.zeros((n * _GROUPS, 65), np.int16)
         self.odds = np.full((2, 3, n * 32), 1 << 15, np.int64)
         self.weights = np.full((2, 3, n), 1 << 15, np.int64)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -82,7 +84,7 @@ class Lanes:
         self.cells = [own * 32 + x for x in (first, second, third)]
         self.inputs = [_STRETCH[self.odds[which, j][c] >> 4] for j, c in enumerate(self.cells)]
         total = sum(self.weights[which, j][own] * s for j, s in enumerate(self.inputs)) >> 16
-        self.p = _SQUASH[np.clip(total, -2047, 2047) + 2048]
+        self.p = _SQUASH[np.minimum(np.maximum(total, -2047), 2047) + 2048]
         return self.p
 
     def mixed(self, which: int, own: np.ndarray, bit: np.ndarray) -> None:
@@ -90,20 +92,23 @@ class Lanes:
         err = want - self.p
         for j, (cell, s) in enumerate(zip(self.cells, self.inputs)):
             odds = self.odds[which, j]
-            odds[cell] = (odds[cell] + ((want - odds[cell]) >> 5)).clip(64, 65535 - 64)
+            old = odds[cell]
+            odds[cell] = np.minimum(np.maximum(old + ((want - old) >> 5), 64), 65535 - 64)
             self.weights[which, j][own] += (s * err) >> 15
 
     def count(self, own: np.ndarray, place: np.ndarray) -> None:
         """One more of the ids at these places (from 1)."""
         g, j = (place - 1) >> 6, (place - 1) & 63
-        self.groups[own] += np.arange(_GROUPS + 1) > g[:, None]
-        self.within[own, g] += np.arange(65) > j[:, None]
+        self.groups[own] += _AFTER_GROUP[g]
+        self.within[own * _GROUPS + g] += _AFTER[j]
 
-    def meet(self, own: np.ndarray, ids: np.ndarray) -> None:
-        self.many[own] += 1
-        self.place[(own << 16) + ids] = self.many[own]
-        self.met[own * (BLOCK + 1) + self.many[own]] = ids
-        self.count(own, self.many[own])
+    def meet(self, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Gives ids that came for the first time their places."""
+        place = self.many[own] + 1
+        self.many[own] = place
+        self.place[(own << 16) + ids] = place
+        self.met[own * (BLOCK + 1) + place] = ids
+        return place
 
 
 class _Out(Lanes):
@@ -113,14 +118,14 @@ class _Out(Lanes):
         self.words, self.used = np.zeros(n * self.room, np.uint16), np.zeros(n, np.int64)
 
     def _narrow(self, own: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
-        """Stores the interval and puts out the leading words that no longer change."""
+        """Stores the interval; once it is small, puts out its leading words (cutting it where they might still change)."""
         self.low[own], self.range[own] = low, size
         while True:
-            same = (low ^ (low + size)) < _TOP
-            need = same | (size < _BOT)
-            if not need.any():
+            small = np.flatnonzero(size < _BOT)
+            if not len(small):
                 return
-            own, low, size, same = own[need], low[need], size[need], same[need]
+            own, low, size = own[small], low[small], size[small]
+            same = (low ^ (low + size)) < _TOP
             size = np.where(same, size, (~low + _64(1)) & (_BOT - _64(1))) << _64(16)
             self.words[own * self.room + self.used[own]] = low >> _64(48)
             self.used[own] += 1
@@ -140,17 +145,18 @@ class _Out(Lanes):
         known, all_ = place > 0, self.groups[own, _GROUPS].astype(np.int64)
         escape = self.many[own] + 1
         g, j = np.maximum(place - 1, 0) >> 6, np.maximum(place - 1, 0) & 63
-        inside = self.within[own, g, j].astype(np.int64)
+        row = own * _GROUPS + g
+        inside = self.within[row, j].astype(np.int64)
         start = np.where(known, self.groups[own, g] + inside, all_)
-        size = np.where(known, self.within[own, g, j + 1] - inside, escape)
+        size = np.where(known, self.within[row, j + 1] - inside, escape)
         self.part(own, start, size, all_ + escape)
-        new, old = own[~known], own[known]
-        if len(new):
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            new = own[fresh]
             r = self.range[new] >> _64(16)
-            self._narrow(new, self.low[new] + r * ids[~known].astype(_64), r)
-            self.meet(new, ids[~known])
-        if len(old):
-            self.count(old, place[known])
+            self._narrow(new, self.low[new] + r * ids[fresh].astype(_64), r)
+            place[fresh] = self.meet(new, ids[fresh])
+        self.count(own, place)
 
 
 class _In(Lanes):
@@ -163,11 +169,11 @@ class _In(Lanes):
     def _narrow(self, own: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
         self.low[own], self.range[own] = low, size
         while True:
-            same = (low ^ (low + size)) < _TOP
-            need = same | (size < _BOT)
-            if not need.any():
+            small = np.flatnonzero(size < _BOT)
+            if not len(small):
                 return
-            own, low, size, same = own[need], low[need], size[need], same[need]
+            own, low, size = own[small], low[small], size[small]
+            same = (low ^ (low + size)) < _TOP
             size = np.where(same, size, (~low + _64(1)) & (_BOT - _64(1))) << _64(16)
             self.code[own] = (self.code[own] << _64(16)) | self.words[own * self.room + np.minimum(self.used[own], self.room - 1)]
             self.used[own] += 1
@@ -185,24 +191,26 @@ class _In(Lanes):
         r = self.range[own] // (all_ + escape).astype(_64)
         value = np.minimum(((self.code[own] - self.low[own]) // r).astype(np.int64), all_ + escape - 1)
         known = value < all_
-        g = np.minimum((self.groups[own, 1:] <= value[:, None]).sum(1), _GROUPS - 1)
-        rest = value - self.groups[own, g]
-        j = np.minimum((self.within[own, g, 1:] <= rest[:, None]).sum(1), 63)
-        inside = self.within[own, g, j].astype(np.int64)
+        g = np.minimum((self.groups[own, 1:] <= value[:, None].astype(np.int16)).sum(1, dtype=np.int16).astype(np.int64), _GROUPS - 1)
+        rest = (value - self.groups[own, g]).astype(np.int16)
+        row = self.within[own * _GROUPS + g]
+        j = np.minimum((row[:, 1:] <= rest[:, None]).sum(1, dtype=np.int16).astype(np.int64), 63)
+        at = np.arange(len(own))
+        inside = row[at, j].astype(np.int64)
         start = np.where(known, self.groups[own, g] + inside, all_)
-        size = np.where(known, self.within[own, g, j + 1] - inside, escape)
+        size = np.where(known, row[at, j + 1] - inside, escape)
         self._narrow(own, self.low[own] + r * start.astype(_64), r * size.astype(_64))
-        place = g * 64 + j + 1
-        ids = self.met[own * (BLOCK + 1) + np.where(known, place, 0)].astype(np.int64)
-        new, old = own[~known], own[known]
-        if len(new):
+        place = np.where(known, g * 64 + j + 1, 0)
+        ids = self.met[own * (BLOCK + 1) + place].astype(np.int64)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            new = own[fresh]
             r = self.range[new] >> _64(16)
-            fresh = np.minimum((self.code[new] - self.low[new]) // r, _64(65535))
-            self._narrow(new, self.low[new] + r * fresh, r)
-            ids[~known] = fresh.astype(np.int64)
-            self.meet(new, ids[~known])
-        if len(old):
-            self.count(old, place[known])
+            first = np.minimum((self.code[new] - self.low[new]) // r, _64(65535))
+            self._narrow(new, self.low[new] + r * first, r)
+            ids[fresh] = first.astype(np.int64)
+            place[fresh] = self.meet(new, ids[fresh])
+        self.count(own, place)
         return ids
 
 
