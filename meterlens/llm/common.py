@@ -52,6 +52,22 @@ def dropped(df: DataFrame) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+_kept: dict = {}
+
+
+def kept(name=None, make=None):
+    """This Python process's object of a name, made at its first use and kept from task to task.
+
+    Objects of other names go: a worker process runs tasks of many operators, and what one
+    of them keeps would take memory from the next. Without a name everything goes.
+    """
+    for other in [k for k in _kept if k != name]:
+        del _kept[other]
+    if name is not None and name not in _kept:
+        _kept[name] = make()
+    return _kept.get(name)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Few rows in an Arrow batch from now on: texts are long, and a batch is held by the JVM and by Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, released, stored, values
+from .common import bounded_batches, dropped, kept, released, stored, values
 from .components import components
 
 SHINGLE = 5
@@ -33,7 +33,7 @@ PERCENT = 75
 #: Shingles that are ordered last: as many at most; which ones decides on speed alone.
 COMMON = 1_500_000
 #: Shingles counted at a time, and how often one must occur among them to be reported.
-COUNT_CHUNK, COUNT_LEAST = 2_000_000, 2
+COUNT_CHUNK, COUNT_LEAST = 1_000_000, 2
 STAR_ROUNDS = 2
 #: What comparing two sets costs, in entries emitted.
 COMPARE = 2
@@ -110,9 +110,9 @@ class Common:
 
     BITS = 24
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.rank = hashes[order], np.argsort(np.lexsort((hashes, counts))).astype(np.int32)[order]
+    def __init__(self, hashes: np.ndarray, rank: np.ndarray) -> None:
+        """hashes: sorted."""
+        self.hashes, self.rank = hashes, rank
         self.near = np.zeros(1 << self.BITS, bool)
         self.near[hashes >> np.uint64(64 - self.BITS)] = True
 
@@ -169,6 +169,7 @@ def signatures(found: np.ndarray, common: Common, light: int, percent: int) -> n
 
 def _count(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         held, many, seen = [], 0, set()
 
         def flush() -> pa.RecordBatch:
@@ -196,6 +197,7 @@ def _count(size: int):
 
 def _sets(size: int, percent: int, light: int, often):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         common = Common(*often.value)
         seen: set[bytes] = set()
         for batch in batches:
@@ -217,6 +219,7 @@ def _sets(size: int, percent: int, light: int, often):
 
 def _links(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         last, known = None, np.zeros(0, np.uint64)
         for batch in batches:
             keep = []
@@ -259,9 +262,13 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fits = int((reached <= COMMON).sum()) if by_count else 0
     often = counts.filter(F.col("n") >= (by_count[fits - 1][0] if fits else 1 << 62)).toArrow()
     hashes, n = often["sig"].to_numpy().view(np.uint64), often["n"].to_numpy().astype(np.float64)
-    shared = spark.sparkContext.broadcast((hashes, n))
+    squared = float((n * n).sum())
+    by_hash = np.argsort(hashes)
+    rank = np.empty(len(hashes), np.int32)
+    rank[np.lexsort((hashes, n))] = np.arange(len(hashes), dtype=np.int32)
+    shared = spark.sparkContext.broadcast((hashes[by_hash], rank[by_hash]))  # COMMON entries at most, 12 bytes each
     squares = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
-    light = boundary(1 + max(0.0, squares - float((n * n).sum())) / max(total, 1), percent)  # of lists of shingles that are not ordered last
+    light = boundary(1 + max(0.0, squares - squared) / max(total, 1), percent)  # of lists of shingles that are not ordered last
     dropped(counted)
 
     sets = own.mapInArrow(_sets(size, percent, light, shared), f"doc {kind}, mark long, n long, digest binary, sigs array<long>")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, stored, values, word_count
+from .common import bounded_batches, dropped, kept, stored, values, word_count
 
 MIN_WORDS = 10
 LONG_LINE = 50
@@ -69,6 +69,7 @@ def chunks_of(lines: list[str], met: dict[int, int], min_words: int = MIN_WORDS)
 
 def _cut(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept()
         for batch in batches:
             at, starts, ends, sums, texts = [], [], [], [], []
             for k, (text, met) in enumerate(zip(values(batch.column(2)), values(batch.column(3)))):

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stored
+from .common import bounded_batches, kept, stored
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -66,6 +66,7 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def _stats(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kept()
     for batch in texts:
         yield pd.DataFrame([text_stats(t) for t in batch], columns=COUNTS, dtype="int64")
 

@@ -13,6 +13,8 @@ from itertools import islice
 
 import numpy as np
 
+from .common import kept
+
 #: Words and characters that a worker remembers before it starts afresh.
 WORDS_KEPT, CHARS_KEPT = 600_000, 16_000_000
 CHUNK_CHARS = 2_000_000
@@ -117,11 +119,6 @@ class Encoder:
             yield from self._chunk(chunk)
 
 
-_ready: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
     """This process's encoder, kept from task to task."""
-    if name not in _ready:
-        _ready[name] = Encoder(name)
-    return _ready[name]
+    return kept(("encoder", name), lambda: Encoder(name))
