@@ -239,6 +239,17 @@ def _close(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _needed(n: Column, m: Column, percent: int) -> tuple[Column, Column, Column]:
+    """Of two sets of n and m that link: how many elements they share at least among the first of each, and how many those are.
+
+    With an overlap of t, the first n - t + k and m - t + k share k of any k; the larger k
+    for which both are within what is listed (see prefix()) is taken.
+    """
+    t = F.ceil(percent * (n + m) / (100 + percent))
+    k = t - F.ceil(percent * F.greatest(n, m) / 100) + 1
+    return k, n - t + k, m - t + k
+
+
 def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id it reaches by links), n_links (of its class to other classes that were compared).
 
@@ -279,19 +290,23 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = stored(classes.select("row", "doc", "mark", "n", F.coalesce("first", "row").alias("class")), "classes")
 
     # Inverted lists with two entries or more.
-    entries = sets.select("row", F.explode("sigs").alias("sig"))
+    entries = sets.select("row", F.posexplode("sigs").alias("at", "sig"))
     beside = Window.partitionBy("sig").orderBy("row")
-    lists = entries.select("sig", "row", F.lag("row").over(beside).alias("before"), F.lead("row").over(beside).alias("after"))
+    lists = entries.select("sig", "row", "at", F.lag("row").over(beside).alias("before"), F.lead("row").over(beside).alias("after"))
     lists = lists.filter("before is not null or after is not null").join(classes.select("row", "class", "n"), "row")
-    lists = stored(lists.select("sig", "class", "n").distinct(), "lists")
+    # at: the element's place in its set's order; a light set's entries are of pairs too and count as first.
+    place = F.when(F.col("n") <= light, 0).otherwise(F.col("at"))
+    lists = stored(lists.groupBy("sig", "class", "n").agg(F.min(place).alias("at")), "lists")
     dropped(sets)
     released(spark)
     # Lists with the same members (all shingles of a passage, say) become one, with their number as its weight.
     member = lambda seed: F.bit_xor(F.xxhash64("class", F.lit(seed)))
     alike = lists.groupBy("sig").agg(member(1).alias("x"), member(2).alias("y"), F.count("*").alias("k")).filter("k > 1")
-    alike = stored(alike.groupBy("x", "y", "k").agg(F.min("sig").alias("sig"), F.count("*").alias("weight")).select("sig", "weight"), "alike")
+    same = Window.partitionBy("x", "y", "k")
+    alike = stored(alike.select("sig", F.min("sig").over(same).alias("list"), F.count("*").over(same).alias("weight")), "alike")
     each = lists
-    lists = stored(each.join(alike, "sig"), "merged-lists")
+    lists = each.join(alike, "sig").groupBy(F.col("list").alias("sig"), "class", "n").agg(F.min("at").alias("at"), F.first("weight").alias("weight"))
+    lists = stored(lists, "merged-lists")
     dropped(each)
     released(spark)
 
@@ -310,7 +325,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     links, labels = None, None
     for turn in range(STAR_ROUNDS + 1):
         now = lists if labels is None else lists.join(labels, lists["class"] == labels["node"], "left")
-        now = now.select("sig", "class", "n", "weight", (F.col("class") if labels is None else F.coalesce("component", "class")).alias("label"))
+        now = now.select("sig", "class", "n", "at", "weight", (F.col("class") if labels is None else F.coalesce("component", "class")).alias("label"))
         pivot = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("mixed"), "class", "n", "label"))
         heads = now.groupBy("sig").agg(pivot.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
         heads = stored(heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")), "pivots")
@@ -321,14 +336,18 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             pairs = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")).distinct()
         else:
             still = stored(now.join(heads.select("sig"), "sig", "left_semi"), "open-lists")
+            held = stored(still.groupBy("class").agg(F.sum("weight").alias("held")), "held")
+            still = stored(still.join(held, "class"), "weighed-lists")
             released(spark)
-            one = still.select("sig", F.col("class").alias("a"), F.col("n").alias("an"), F.col("label").alias("alabel"))
-            pairs = still.join(one, "sig").filter((F.col("a") < F.col("class")) & different)
-            pairs = pairs.groupBy("a", F.col("class").alias("b"), "an", "n").agg(F.sum("weight").alias("met"))
-            # Of a set, all but its first elements may be shared too: see prefix().
-            most = F.col("met") + F.ceil(percent * F.greatest("n", "an") / 100) - 1
-            enough = (100 + percent) * most >= percent * (F.col("n") + F.col("an"))
-            pairs = pairs.filter(enough | (F.least("n", "an") <= light)).select("a", "b")
+            one = still.select("sig", *(F.col(x).alias(f"{x}_a") for x in ("class", "n", "label", "at", "held")))
+            # A pair that links shares `need` elements among those of each set that come before `ends` (see prefix()).
+            need, ends, ends_a = _needed(F.col("n"), F.col("n_a"), percent)
+            heavy = F.least("n", "n_a") > light
+            may = (need <= F.least("held", "held_a")) & (F.col("at") < ends) & (F.col("at_a") < ends_a)
+            near = (F.col("class_a") < F.col("class")) & (F.col("label") != F.col("label_a")) & _close(F.col("n"), F.col("n_a"), percent)
+            pairs = still.join(one, "sig").filter(near & (~heavy | may))
+            pairs = pairs.groupBy(F.col("class_a").alias("a"), F.col("class").alias("b"), "n_a", "n").agg(F.sum("weight").alias("met"))
+            pairs = pairs.filter(~heavy | (F.col("met") >= need)).select("a", "b")
         found = verified(pairs, f"links-{turn}")
         released(spark)
         links = found if links is None else links.unionByName(found)
