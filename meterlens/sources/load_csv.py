@@ -41,12 +41,12 @@ def kind_of(header: str) -> str:
 
 
 def classify(spark: SparkSession, folder: str) -> dict[str, list[str]]:
-    """The CSV files below a folder by kind, in order of their paths. Only first lines leave the executors."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").format("binaryFile").load(folder)
-    heads = lines.select("path", F.split(F.decode(F.substring("content", 1, 4096), F.lit("UTF-8")), "\r?\n")[0].alias("head")).orderBy("path").collect()
+    """The CSV files below a folder by kind, in order of their paths. Of each file one line is read."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").format("binaryFile").load(folder).select("path")
     out: dict[str, list[str]] = {k: [] for k in KINDS}
-    for r in heads:
-        out[kind_of(r["head"] or "")].append(r["path"])
+    for path in sorted(r["path"] for r in files.collect()):
+        head = spark.read.text(path).limit(1).collect()
+        out[kind_of(head[0]["value"] if head else "")].append(path)
     return out
 
 
@@ -76,7 +76,8 @@ def layout_of(spark: SparkSession, path: str) -> Layout:
         raise ValueError(f"{path}: no Datum column before HH:MM columns in {names[:8]}")
     after = meta[meta.index("datum") + 1 :]
     rows = _lines(spark, path).filter(F.col("value") != header[0]["value"].replace(BOM, "").rstrip("\r")).filter(F.trim("value") != "").select(F.split("value", ";").alias("f"))
-    looks = {k: F.array_position(F.transform(F.slice("f", 1, 12), lambda x, p=p: F.trim(x).rlike(p)), True) for k, p in PATTERNS.items()}
+    fits = lambda pattern: lambda x: F.trim(x).rlike(pattern)
+    looks = {k: F.array_position(F.transform(F.slice("f", 1, 12), fits(p)), True) for k, p in PATTERNS.items()}
     seen = rows.select(F.size("f").alias("width"), *(v.cast("int").alias(k) for k, v in looks.items()))
     facts = seen.agg(F.collect_set("width").alias("widths"), *(F.mode(F.when(F.col(k) > 0, F.col(k))).alias(k) for k in PATTERNS)).first()
     if not facts["widths"]:
