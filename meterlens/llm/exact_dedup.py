@@ -50,7 +50,7 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Names of the sorted blocks. Partial aggregation thins out common blocks before the shuffle.
     sorted_blocks = blocks.select("address", "block").distinct().sortWithinPartitions("block")
     names = stored(sorted_blocks.select("address", F.monotonically_increasing_id().alias("name")), "block-names")
-    by_address = names.groupBy("address").agg(F.min("name").alias("name"), F.count("*").alias("contents"))
+    by_address = stored(names.groupBy("address").agg(F.min("name").alias("name"), F.count("*").alias("contents")), "addresses")
     shared = stored(by_address.filter("contents > 1").select("address"), "shared-addresses")
 
     at = blocks.select("doc", "digest", "pos", "address")
@@ -65,6 +65,7 @@ def block_names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"])
     now = stored(counted.groupBy("doc", "digest").agg(F.max("n").alias("copies"), listed.alias("names")), "named-0")
     dropped(names)
+    dropped(by_address)
 
     done, level = [], 0
     while True:
