@@ -69,10 +69,11 @@ def kept(name=None, make=None):
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Few rows in an Arrow batch from now on: texts are long, and a batch is held by the JVM and by Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, rows)
+    """Few rows and bytes in an Arrow batch from now on: texts are long, and a batch is held by the JVM and by Python."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, most)
 
 
 def released(spark: SparkSession) -> None:
@@ -96,7 +97,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def values(column, rows: int = 500):
+def values(column, rows: int = 50):
     """An Arrow column's values as Python objects, few at a time."""
     for k in range(0, len(column), rows):
         yield from column.slice(k, rows).to_pylist()

@@ -33,8 +33,11 @@ PERCENT = 75
 #: Shingles that are ordered last: as many at most; which ones decides on speed alone.
 COMMON = 1_500_000
 #: Shingles counted at a time, and how often one must occur among them to be reported.
-COUNT_CHUNK, COUNT_LEAST = 1_000_000, 2
-STAR_ROUNDS = 2
+COUNT_CHUNK, COUNT_LEAST = 4_000_000, 2
+#: Rounds with pivots, at most; another one follows only while one comparison in WORTH of the last one linked.
+STAR_ROUNDS, WORTH = 6, 100
+#: Pivots of a list in a round.
+PIVOTS = 8
 #: What comparing two sets costs, in entries emitted.
 COMPARE = 2
 
@@ -317,22 +320,24 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     released(spark)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         right = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
         whole = right.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
         return stored(whole.mapInArrow(_links(size, percent), "a long, b long"), name)
 
-    links, labels = None, None
-    for turn in range(STAR_ROUNDS + 1):
+    links, labels, turn, last = None, None, 0, False
+    while True:
         now = lists if labels is None else lists.join(labels, lists["class"] == labels["node"], "left")
-        now = now.select("sig", "class", "n", "at", "weight", (F.col("class") if labels is None else F.coalesce("component", "class")).alias("label"))
-        pivot = F.min(F.struct(F.xxhash64("class", F.lit(turn)).alias("mixed"), "class", "n", "label"))
-        heads = now.groupBy("sig").agg(pivot.alias("pivot"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        heads = stored(heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")), "pivots")
+        known = (F.col("class"), F.lit(1)) if labels is None else (F.coalesce("component", "class"), F.coalesce("members", F.lit(1)))
+        now = now.select("sig", "class", "n", "at", "weight", known[0].alias("label"), known[1].alias("members"))
+        # The pivots are of the largest component in the list, others each round.
+        pivot = lambda k: F.min(F.struct(-F.col("members"), F.xxhash64("class", F.lit(turn * PIVOTS + k)).alias("mixed"), "class", "n", "label"))
+        heads = now.groupBy("sig").agg(F.array(*(pivot(k) for k in range(PIVOTS))).alias("pivots"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+        heads = heads.select("sig", F.explode(F.array_distinct("pivots")).alias("pivot")) if not last else heads.select("sig", F.col("pivots")[0].alias("pivot"))
+        heads = stored(heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")).distinct(), "pivots")
         if not heads.limit(1).count():
             break
         different = (F.col("label") != F.col("alabel")) & _close(F.col("n"), F.col("an"), percent)
-        if turn < STAR_ROUNDS:
+        if not last:
             pairs = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")).distinct()
         else:
             still = stored(now.join(heads.select("sig"), "sig", "left_semi"), "open-lists")
@@ -348,13 +353,19 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
             pairs = still.join(one, "sig").filter(near & (~heavy | may))
             pairs = pairs.groupBy(F.col("class_a").alias("a"), F.col("class").alias("b"), "n_a", "n").agg(F.sum("weight").alias("met"))
             pairs = pairs.filter(~heavy | (F.col("met") >= need)).select("a", "b")
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         found = verified(pairs, f"links-{turn}")
         released(spark)
-        links = found if links is None else links.unionByName(found)
-        if not found.limit(1).count():
-            continue
-        labels = stored(components(links), "components")
-        released(spark)
+        compared, linked = pairs.count(), found.count()
+        if linked:
+            links = found if links is None else links.unionByName(found)
+            stars = stored(components(links), "components")
+            labels = stored(stars.join(stars.groupBy("component").agg(F.count("*").alias("members")), "component"), "labels")
+            released(spark)
+        if last:
+            break
+        turn += 1
+        last = turn == STAR_ROUNDS or linked * WORTH < compared
     if labels is None:
         joined = classes.select("doc", "n", F.col("class").alias("component"))
     else:
