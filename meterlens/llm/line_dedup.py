@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, kept, stored, values, word_count
+from .common import bounded_batches, dropped, kept, stored, unused, values, word_count
 
 MIN_WORDS = 10
 LONG_LINE = 50
@@ -110,19 +110,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with two more columns: __removed (number of lines that go) and __clean (the text without them).
+    """docs with two more columns (which it must not have): __removed (number of lines that go) and __clean (the text without them).
 
     Null texts stay null; empty ones have nothing to lose. Rows that repeat id and
     text are one document, so they lose nothing to each other. Null ids take part and
     come last where the first occurrence is chosen. An empty table stays empty.
     """
-    spans = repeated_spans(docs, id_col, text_col, min_words)
-    same = docs[id_col].eqNullSafe(spans["doc"]) & (F.xxhash64(docs[text_col]) == spans["mark"])
-    rows = docs.join(spans.hint("merge"), same, "left")  # spans grow with docs: no broadcast at any size
-    gone = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
+    of, mark, spans = (unused(docs, x) for x in ("__of", "__mark", "__spans"))
+    found = repeated_spans(docs, id_col, text_col, min_words).toDF(of, mark, spans)
+    same = docs[id_col].eqNullSafe(found[of]) & (F.xxhash64(docs[text_col]) == found[mark])
+    rows = docs.join(found.hint("merge"), same, "left")  # spans grow with docs: no broadcast at any size
+    gone = lambda i: F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
     clean = F.array_join(F.filter(_lines(docs[text_col]), lambda _, i: ~gone(i)), "\n")
-    lost = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
-    return rows.select(*[docs[c] for c in docs.columns], F.coalesce(lost, F.lit(0)).cast("long").alias("__removed"), F.when(F.col("spans").isNull(), docs[text_col]).otherwise(clean).alias("__clean"))
+    lost = F.aggregate(spans, F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    return rows.select(*[docs[c] for c in docs.columns], F.coalesce(lost, F.lit(0)).cast("long").alias("__removed"), F.when(F.col(spans).isNull(), docs[text_col]).otherwise(clean).alias("__clean"))
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import stored, unused, word_count
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -150,13 +150,13 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of docs, all columns, each as often as the mix takes it. Nulls and repeated rows as in mixed()."""
-    keys = ["__id", "__source", "__size"]
-    plan = mixed(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"))
-    plan = stored(plan.agg(F.sum("times").alias("__times"), F.count("*").alias("__rows")), "times")
-    own = docs.withColumn("__words", word_count(F.col(text_col)))
-    same = own[id_col].eqNullSafe(plan["__id"]) & own[source_col].eqNullSafe(plan["__source"]) & (own["__words"] == plan["__size"])
+    key, source, size, times, many, words, n = (unused(docs, x) for x in ("__key", "__source", "__size", "__times", "__many", "__words", "__n"))
+    plan = mixed(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias(key), F.col("source").alias(source), F.col("size").alias(size))
+    plan = stored(plan.agg(F.sum("times").alias(times), F.count("*").alias(many)), "times")
+    own = docs.withColumn(words, word_count(F.col(text_col)))
+    same = own[id_col].eqNullSafe(plan[key]) & own[source_col].eqNullSafe(plan[source]) & (own[words] == plan[size])
     rows = own.join(plan, same)
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(text_col)))
-    extra = F.when(nth <= F.col("__times") % F.col("__rows"), 1).otherwise(0)
-    rows = rows.withColumn("__n", F.floor(F.col("__times") / F.col("__rows")) + extra)
-    return rows.filter("__n > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[docs[c] for c in docs.columns])
+    nth = F.row_number().over(Window.partitionBy(key, source, size).orderBy(F.col(text_col)))
+    extra = F.when(nth <= F.col(times) % F.col(many), 1).otherwise(0)
+    rows = rows.withColumn(n, F.floor(F.col(times) / F.col(many)) + extra).filter(F.col(n) > 0)
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*docs.columns)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, kept, stored
+from .common import bounded_batches, kept, stored, unused
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -124,6 +124,7 @@ def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     bounded_batches(docs.sparkSession)
     stats = docs.select(F.col(host_col).alias("host"), document_stats(text_col).alias("stats"))
     verdicts = host_verdicts(_by_host(stats.select("host", base_failed().alias("failed"))))
-    bad = verdicts.filter("rejected").select(F.col("host").alias("__bad_host"))
-    passed = docs.withColumn("__stats", document_stats(text_col)).filter(~base_failed("__stats")).drop("__stats")
-    return passed.join(bad, passed[host_col].eqNullSafe(F.col("__bad_host")), "left_anti")
+    host, stats = unused(docs, "__host"), unused(docs, "__stats")
+    bad = verdicts.filter("rejected").select(F.col("host").alias(host))
+    passed = docs.withColumn(stats, document_stats(text_col)).filter(~base_failed(stats)).drop(stats)
+    return passed.join(bad, passed[host_col].eqNullSafe(bad[host]), "left_anti")
