@@ -211,7 +211,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    some = own.select("text").filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= 20_000)).orderBy(F.xxhash64("text")).limit(sample)  # texts to learn from
+    with_hash = own.filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= 20_000)).select(F.xxhash64("text").alias("h"), "text")
+    last = with_hash.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = with_hash.filter(F.col("h") <= F.lit(last)).select("text").distinct().orderBy("text")  # texts to learn from
     trees, limits = learn([r["text"] for r in some.toLocalIterator()])
     kind = docs.schema[id_col].dataType.simpleString()
     fields = f"doc {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * with_text
