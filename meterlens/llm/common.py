@@ -105,7 +105,7 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def values(column, rows: int = 50):
+def values(column, rows: int = 250):
     """An Arrow column's values as Python objects, few at a time."""
     for k in range(0, len(column), rows):
         yield from column.slice(k, rows).to_pylist()
