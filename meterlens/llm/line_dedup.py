@@ -1,19 +1,17 @@
-"""Repeated multi-line passages across documents, by content-defined chunks of lines.
-
-A window of two line hashes rolls over each document. How often its hash is met in
-the corpus shows where passages begin and end: a chunk ends at a window that is met
-nowhere else, at one that is met clearly less often than a window beside it (the seam between
-a passage and what stands around it), and, so that long runs fall into the same
-pieces wherever they stand, where a longer rolling hash has zero low bits. These
-choices depend on the lines alone, not on their place. Chunks of several lines, or of
-one very long line, are compared byte by byte: grouping is on their bytes. The first
-occurrence (smallest id, then position) stays, the others go.
+"""Repeated multi-line passages across documents, by maximal runs of repeated windows.
+
+A window of two lines rolls over each document; very long lines are windows of their own.
+Hashes of the windows' lines say which may be repeated at all; those are then compared
+byte by byte: grouping is on their bytes. The first occurrence of a window (smallest id,
+then position) stays one, every other one is a copy. Copies that follow each other line by
+line are one run, and the lines of a run go where it has enough words, whatever stands
+around it and however often that is met; a very long line goes by itself. A line that goes
+always stays in an earlier place.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -24,8 +22,6 @@ from .common import bounded_batches, dropped, kept, stored, unused, values, word
 
 MIN_WORDS = 10
 LONG_LINE = 50
-#: A piece of a long run has this many lines at least; then one line in 1 << BITS ends it, by a hash of the last ROLL lines.
-PIECE, BITS, ROLL = 4, 4, 4
 
 
 def _lines(text: Column) -> Column:
@@ -45,44 +41,71 @@ def _windows(docs: DataFrame) -> DataFrame:
     return whole.select("doc", "mark", F.explode(both).alias("x")).select("doc", "mark", "x.pos", "x.window")
 
 
-def chunks_of(lines: list[str], met: dict[int, int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """(start, end) of the chunks of lines that may be repeated elsewhere. met: how often each repeated window is met."""
-    out, start, n = [], 0, len(lines)
-    sums = None
-    for i in range(n):
-        here = met.get(i, 0)
-        end = not here or 8 * here < 7 * max(met.get(i - 1, 0), met.get(i + 1, 0))
-        if not end and i + 1 - start >= PIECE:
-            sums = sums or [zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in lines]
-            mixed = 0
-            for s in sums[i + 1 - ROLL : i + 1]:
-                mixed = (mixed * 0x9E3779B1 + s) & 0xFFFFFFFF
-            end = not (mixed ^ mixed >> 15) & ((1 << BITS) - 1)
-        if end:
-            if i > start and sum(len(x.encode("utf-8", "surrogatepass").split()) for x in lines[start : i + 1]) >= min_words:
-                out.append((start, i + 1))
-            elif i == start and -1 - i in met:
-                out.append((i, i + 1))
-            start = i + 1
+def _runs(met: Iterable[int], words: Callable[[int], int], min_words: int) -> list[tuple[int, int]]:
+    """(start, end) of the lines in runs of windows with min_words words at least and of the long lines, apart and in order."""
+    runs: list[list[int]] = []
+    for p in sorted(p for p in met if p >= 0):
+        if runs and p == runs[-1][1] - 1:
+            runs[-1][1] = p + 2
+        else:
+            runs.append([p, p + 2])
+    spans = [(a, b) for a, b in runs if sum(map(words, range(a, b))) >= min_words] + [(-1 - p, -p) for p in met if p < 0]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
     return out
 
 
-def _cut(min_words: int):
+def _words(line: str) -> int:
+    return len(line.encode("utf-8", "surrogatepass").split())
+
+
+def chunks_of(lines: list[str], met: Iterable[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(start, end) of the chunks of lines that may be repeated elsewhere. met: the places of repeated windows."""
+    return _runs(met, lambda i: _words(lines[i]), min_words)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows that are met again, with their bytes and the words of their lines; those of short runs too, which may be the first of others."""
+    kept()
+    for batch in batches:
+        at, places, firsts, seconds, sums, texts = [], [], [], [], [], []
+        for k, (text, met) in enumerate(zip(values(batch.column(2)), values(batch.column(3)))):
+            lines = text.split("\n")
+            again = set(met)
+            for start, end in chunks_of(lines, again, 0):
+                n = [_words(x) for x in lines[start:end]]
+                for i in range(start, end):
+                    for pos, piece, second in ((i, "\n".join(lines[i : i + 2]), n[i + 1 - start] if i + 1 < end else None), (-1 - i, lines[i], 0)):
+                        if pos in again and second is not None:
+                            at.append(k)
+                            places.append(pos)
+                            firsts.append(n[i - start])
+                            seconds.append(second)
+                            texts.append(piece)
+                            sums.append(xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 63))
+        rows = pa.array(at, pa.int64())
+        ints = [pa.array(x, pa.int32()) for x in (places, firsts, seconds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *ints, pa.array(sums, pa.int64()), pa.array(texts, pa.string())], names=["doc", "mark", "pos", "words", "more", "sum", "chunk"])
+
+
+def _joined(min_words: int):
+    """The lines that go, from the copies in a document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept()
         for batch in batches:
-            at, starts, ends, sums, texts = [], [], [], [], []
-            for k, (text, met) in enumerate(zip(values(batch.column(2)), values(batch.column(3)))):
-                lines = text.split("\n")
-                for start, end in chunks_of(lines, {x["pos"]: x["n"] for x in met}, min_words):
-                    piece = "\n".join(lines[start:end])
-                    at.append(k)
-                    starts.append(start)
-                    ends.append(end)
-                    texts.append(piece)
-                    sums.append(xxhash.xxh3_64_intdigest(piece.encode("utf-8", "surrogatepass")) - (1 << 63))
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(sums, pa.int64()), pa.array(texts, pa.string())], names=["doc", "mark", "start", "end", "sum", "chunk"])
+            found = []
+            for copies in values(batch.column(2)):
+                words = {}
+                for x in copies:
+                    if x["pos"] >= 0:
+                        words[x["pos"]], words[x["pos"] + 1] = x["words"], x["more"]
+                found.append([{"start": a, "end": b} for a, b in _runs({x["pos"] for x in copies}, words.__getitem__, min_words)])
+            out = pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=["doc", "mark", "spans"])
 
     return run
 
@@ -93,20 +116,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     windows = stored(_windows(own), "windows")
-    often = stored(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1"), "repeated-windows")
-    met = windows.join(often, "window").select("doc", "mark", "pos", "n").distinct()
-    met = stored(met.groupBy("doc", "mark").agg(F.collect_list(F.struct("pos", "n")).alias("met")), "met")
+    often = stored(windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-windows")
+    met = windows.join(often, "window").select("doc", "mark", "pos")
+    met = stored(met.groupBy("doc", "mark").agg(F.collect_set("pos").alias("met")), "met")
     dropped(windows)
     dropped(often)
     with_text = own.filter("text is not null").join(met.select(F.col("doc").alias("of"), F.col("mark").alias("marked"), "met").hint("merge"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
-    chunks = with_text.select("doc", "mark", "text", "met").mapInArrow(_cut(min_words), f"doc {kind}, mark long, start int, end int, sum long, chunk string")
-    chunks = stored(chunks.distinct(), "chunks")  # rows that repeat id and text are one document
-    first = F.min(F.struct(F.isnull("doc").alias("none"), "doc", "mark", "start"))
-    groups = chunks.groupBy("sum", "chunk").agg(first.alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    groups = stored(groups, "chunk-groups")
+    chunks = with_text.select("doc", "mark", "text", "met").mapInArrow(_cut, f"doc {kind}, mark long, pos int, words int, more int, sum long, chunk string")
+    chunks = stored(chunks, "chunks")
+    dropped(met)
+    start = F.when(F.col("pos") < 0, -1 - F.col("pos")).otherwise(F.col("pos"))
+    place = F.struct(F.isnull("doc").alias("none"), "doc", "mark", start.alias("start"))
+    groups = chunks.groupBy("sum", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    groups = stored(groups.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "chunk-groups")  # rows that repeat id and text are one document
     again = chunks.join(groups, ["sum", "chunk"])
-    stays = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("mark") == F.col("first.mark")) & (F.col("start") == F.col("first.start"))
-    return stored(again.filter(~stays).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    stays = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("mark") == F.col("first.mark")) & (start == F.col("first.start"))
+    copies = again.filter(~stays).groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "words", "more")).alias("copies"))
+    spans = copies.mapInArrow(_joined(min_words), f"doc {kind}, mark long, spans array<struct<start:int,end:int>>")
+    spans = stored(spans.filter("size(spans) > 0"), "spans")
+    dropped(chunks)
+    dropped(groups)
+    return spans
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:

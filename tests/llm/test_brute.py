@@ -121,6 +121,64 @@ def test_chunks_do_not_depend_on_place():
     assert len(base & shifted) >= len(base) - 2
 
 
+def brute_lines(data, least=10, long=50):
+    """What is left of each text: every window of two lines, and every long line, but the first of its kind is a copy."""
+    rows = [(i, t.split("\n")) for i, t in sorted(data)]
+    seen, out = set(), {}
+    for i, lines in rows:
+        n, copy, gone = [len(words(x)) for x in lines], [], set()
+        for k, x in enumerate(lines):
+            pair = tuple(lines[k : k + 2])
+            if len(pair) == 2:
+                copy.append(pair in seen)
+                seen.add(pair)
+            if n[k] >= long and (x,) in seen:
+                gone.add(k)
+            if n[k] >= long:
+                seen.add((x,))
+        k = 0
+        while k < len(copy):
+            end = k
+            while end < len(copy) and copy[end]:
+                end += 1
+            if end > k and sum(n[k : end + 1]) >= least:
+                gone |= set(range(k, end + 1))
+            k = end + 1
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def lines_left(spark, data):
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    return {r["doc_id"]: r["__clean"] for r in line_dedup.without_repeats(df).collect()}
+
+
+def test_long_line_in_copies(spark):
+    rng = random.Random(7)
+    line = lambda n=12: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    shared, data = line(80), []
+    for i in range(40):  # different documents, each with one exact copy, all with the same long line
+        text = "\n".join([line(), line(), shared, line(), line()])
+        data += [(2 * i, text), (2 * i + 1, text)]
+    left = lines_left(spark, data)
+    assert [i for i, t in left.items() if shared in t.split("\n")] == [0]
+    assert left == brute_lines(data)
+
+
+def test_lines_brute(spark):
+    """Few different lines, so that windows repeat in and across documents, beside documents with copies."""
+    rng = random.Random(9)
+    pool = [" ".join(f"p{k}x{i}" for i in range(rng.choice((1, 4, 7, 12, 55)))) for k in range(25)] + [""]
+    data = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for i in range(150)]
+    data += [(i + 1000, t) for i, t in data if i % 3 == 0] + [(i + 2000, t + "\nits own line") for i, t in data if i % 5 == 0]
+    assert lines_left(spark, data) == brute_lines(data)
+
+
+def test_lines_brute_on_documents(spark, docs):
+    data = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if r["text"] is not None]
+    assert lines_left(spark, data) == brute_lines(data)
+
+
 def test_mixing_balance(spark, docs):
     rows = mixing.mixed(docs).toPandas()
     assert abs(rows["target"].groupby(rows["source"]).first().sum() - rows["size"].sum()) < 1
