@@ -459,14 +459,14 @@ def grouped_folds(s, d):
 
 @query
 def bootstrap_auc(s, d):
-    return metrics.bootstrap(roles.scored_labels(s, d), BY, times=200)
+    return metrics.bootstrap(roles.scored_labels(s, d), BY)
 
 
 @query
 def paired_bootstrap(s, d):
     rows = roles.scored_labels(s, d)
     pair = rows.groupBy("stratum", "asset", "mp_id").agg(F.max("y").alias("y"), F.max(F.when(F.col("detector") == "length", F.col("score"))).alias("score_b"), F.max(F.when(F.col("detector") == "mixed", F.col("score"))).alias("score_a"))
-    return metrics.paired_bootstrap(pair, ["stratum", "asset"], times=200)
+    return metrics.paired_bootstrap(pair, ["stratum", "asset"])
 
 
 def _labels_and_scores(s, d):
@@ -513,7 +513,7 @@ def best_two(s, d):
 def head_to_head(s, d):
     y, sc = _labels_and_scores(s, d)
     y = y.withColumn("stratum", F.lit("all"))
-    return evaluate.head_to_head(y, sc, evaluate.leaderboard(y, sc), times=100)
+    return evaluate.head_to_head(y, sc, evaluate.leaderboard(y, sc))
 
 
 def _known(s, d):

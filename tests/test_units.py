@@ -206,3 +206,21 @@ def test_streaming(spark, tmp_path):
     q = daily_energy(stream).writeStream.format("memory").queryName("daily").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert [(r.kwh, r.n) for r in spark.sql("select * from daily").collect()] == [(3.0, 2)]
+
+
+def test_bootstrap_queries_resample_in_full(spark, sf):
+    from meterlens import queries
+    from meterlens.operators import metrics
+    from meterlens.sources import roles
+
+    want = metrics.bootstrap(roles.scored_labels(spark, sf), queries.BY, times=2000).collect()
+    assert sorted(queries.bootstrap_auc(spark, sf).collect()) == sorted(want)
+    drawn = []
+    real = queries.metrics.paired_bootstrap
+    queries.metrics.paired_bootstrap = lambda df, by, *a, times=2000, **k: drawn.append(times) or real(df, by, *a, times=1, **k)
+    try:
+        queries.paired_bootstrap(spark, sf)
+        queries.head_to_head(spark, sf)
+    finally:
+        queries.metrics.paired_bootstrap = real
+    assert drawn == [2000, 2000]
