@@ -78,6 +78,22 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    "op7_line_dedup": r"""
+        WITH lines AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line
+                       FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+        l AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS below FROM lines),
+        pairs AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, below ORDER BY doc_id, i) AS nth FROM l WHERE below IS NOT NULL),
+        runs AS (SELECT doc_id, min(i) AS a, max(i) + 1 AS b
+                 FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM pairs WHERE nth > 1)
+                 GROUP BY doc_id, island),
+        enough AS (SELECT r.doc_id, a, b FROM runs r JOIN l ON l.doc_id = r.doc_id AND l.i BETWEEN a AND b GROUP BY r.doc_id, a, b HAVING sum(w) >= 10),
+        long AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS nth FROM l WHERE w >= 50) WHERE nth > 1),
+        gone AS (SELECT doc_id, unnest(range(a, b + 1)) AS i FROM enough UNION SELECT doc_id, i FROM long),
+        left_ AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS t, sum(l.w) AS w FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY l.doc_id),
+        lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+        SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines, coalesce(lost.n, 0) AS n_removed,
+               coalesce(left_.w, 0)::BIGINT AS n_words_left, sha256(coalesce(left_.t, '')) AS text_sha256
+        FROM documents d LEFT JOIN left_ USING (doc_id) LEFT JOIN lost USING (doc_id)""",
     "op8_quality_rules": r"""
         WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
         w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),

@@ -9,7 +9,7 @@ from meterlens.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 LONG = " ".join(WORDS[i * 7 % 24] + str(i) for i in range(9000))
-CLASH = "doc, mark, row, class, size, start, end, names, pos, block, address, digest, level, label, component, stats, host, spans, times, weight, __id".split(", ")
+CLASH = "doc, mark, row, class, size, start, end, names, pos, block, address, digest, level, label, component, stats, host, spans, times, weight, __id, __removed, __clean, __spans, __of, __mark, __host, __stats, piece, many, n_spans".split(", ")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
 
 
