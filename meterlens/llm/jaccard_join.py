@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, kept, released, stored, values
+from .common import bounded_batches, dropped, kept, released, stored, unused, values
 from .components import components
 
 SHINGLE = 5
@@ -38,12 +38,14 @@ COUNT_CHUNK, COUNT_LEAST = 4_000_000, 2
 STAR_ROUNDS, WORTH = 6, 100
 #: Pivots of a list in a round.
 PIVOTS = 8
+#: Of the elements a class is listed under, so many are known where its pairs are looked for.
+KNOWN = 64
 #: What comparing two sets costs, in entries emitted.
 COMPARE = 2
 
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-#: A word's hash: the sum over its bytes of random numbers, drawn for byte and place in the word.
+#: A word's hash: the sum over its bytes of random numbers, drawn for byte and place in the word. Longer words are hashed whole.
 _PLACES = 64
 _RANDOM = np.frombuffer(np.random.Generator(np.random.PCG64(5)).bytes(_PLACES * 256 * 8), np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -69,10 +71,10 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
     first = np.flatnonzero(np.diff(where, prepend=-2) != 1)  # of each word, among its bytes in `where`
     size = np.diff(first, append=len(where))
     place = np.arange(len(where)) - np.repeat(first, size)
-    part = _RANDOM[((place & (_PLACES - 1)) << 8) + _LOWER[data[where]]]
-    if size.max() > _PLACES:
-        part = part * (2 * (place // _PLACES) + 1).astype(np.uint64)
-    hashes = _mix(np.add.reduceat(part, first) + size.astype(np.uint64))
+    low = _LOWER[data[where]]
+    hashes = _mix(np.add.reduceat(_RANDOM[((place & (_PLACES - 1)) << 8) + low], first) + size.astype(np.uint64))
+    for i in np.flatnonzero(size > _PLACES):
+        hashes[i] = xxhash.xxh3_64_intdigest(low[first[i] : first[i] + size[i]].tobytes())
     return np.split(hashes, np.searchsorted(where[first], ends)[:-1])
 
 
@@ -242,25 +244,38 @@ def _close(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _needed(n: Column, m: Column, percent: int) -> tuple[Column, Column, Column]:
-    """Of two sets of n and m that link: how many elements they share at least among the first of each, and how many those are.
+def _needed(n: Column, m: Column, percent: int) -> Column:
+    """Of two sets of n and m that link: how many of the elements that both are listed under they share at least.
 
-    With an overlap of t, the first n - t + k and m - t + k share k of any k; the larger k
-    for which both are within what is listed (see prefix()) is taken.
+    With an overlap of t, the first n - t + k and m - t + k share k of any k; this is
+    the largest k for which both are within what is listed (see prefix()).
     """
-    t = F.ceil(percent * (n + m) / (100 + percent))
-    k = t - F.ceil(percent * F.greatest(n, m) / 100) + 1
-    return k, n - t + k, m - t + k
+    return F.ceil(percent * (n + m) / (100 + percent)) - F.ceil(percent * F.greatest(n, m) / 100) + 1
 
 
-def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the smallest id it reaches by links), n_links (of its class to other classes that were compared).
+def _undecided(entries: DataFrame, light: int, percent: int) -> DataFrame:
+    """entries (sig, class, n, weight, label) -> a, b: pairs of classes with different labels that may link, about once each.
 
-    Null, empty and wordless texts have no shingles and link with nothing, not even
-    with each other. A null id takes part in links and never is a component's id
-    unless all its ids are null. Repeated rows have equal sets and so link. An empty
-    table gives an empty result; other columns are ignored.
+    A row carries the first lists of its class, KNOWN elements at most. A pair comes of
+    the first list that both stand in, and only if the elements known to be shared,
+    with all that are not known, are as many as the pair needs (see _needed()). Lists
+    that are not known make a pair come again or be compared in vain; none is left out.
     """
+    listed = entries.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("sig", "weight"))).alias("all"))
+    listed = listed.select("class", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["weight"]).alias("held"), F.slice("all", 1, KNOWN).alias("all"))
+    listed = listed.withColumn("upto", F.aggregate("all", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["weight"]))))
+    listed = listed.withColumn("k", F.array_size(F.filter("upto", lambda x: x <= KNOWN)) - 1)
+    elements = F.flatten(F.transform(F.slice("all", 1, F.col("k")), lambda x: F.transform(F.sequence(F.lit(1).cast("long"), x["weight"]), lambda i: F.xxhash64(x["sig"], i))))
+    listed = listed.select("class", F.transform(F.slice("all", 1, F.col("k")), lambda x: x["sig"]).alias("known"), elements.alias("elements"), (F.col("held") - F.get("upto", F.col("k"))).alias("rest"))
+    rows = entries.drop("weight").join(listed, "class").withColumn("before", F.filter("known", lambda x: x < F.col("sig"))).drop("known")
+    one = rows.select("sig", *(F.col(x).alias(f"{x}_a") for x in ("class", "n", "label", "elements", "rest", "before")))
+    near = (F.col("class_a") < F.col("class")) & (F.col("label") != F.col("label_a")) & _close(F.col("n"), F.col("n_a"), percent)
+    may = (F.least("n", "n_a") <= light) | (F.size(F.array_intersect("elements", "elements_a")) + F.col("rest") + F.col("rest_a") >= _needed(F.col("n"), F.col("n_a"), percent))
+    return rows.join(one, "sig").filter(near & ~F.arrays_overlap("before", "before_a") & may).select(F.col("class_a").alias("a"), F.col("class").alias("b"))
+
+
+def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """One row per document: doc, mark (xxhash64 of its text), n, component (a number of its own)."""
     bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -284,6 +299,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     squares = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
     light = boundary(1 + max(0.0, squares - squared) / max(total, 1), percent)  # of lists of shingles that are not ordered last
     dropped(counted)
+    dropped(counts)
 
     sets = own.mapInArrow(_sets(size, percent, light, shared), f"doc {kind}, mark long, n long, digest binary, sigs array<long>")
     sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
@@ -291,15 +307,14 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     copies = stored(copies.filter("rows > 1").drop("rows"), "copies")
     classes = sets.select("row", "doc", "mark", "n", "digest").join(copies, "digest", "left")
     classes = stored(classes.select("row", "doc", "mark", "n", F.coalesce("first", "row").alias("class")), "classes")
+    dropped(copies)
 
     # Inverted lists with two entries or more.
-    entries = sets.select("row", F.posexplode("sigs").alias("at", "sig"))
+    entries = sets.select("row", F.explode("sigs").alias("sig"))
     beside = Window.partitionBy("sig").orderBy("row")
-    lists = entries.select("sig", "row", "at", F.lag("row").over(beside).alias("before"), F.lead("row").over(beside).alias("after"))
+    lists = entries.select("sig", "row", F.lag("row").over(beside).alias("before"), F.lead("row").over(beside).alias("after"))
     lists = lists.filter("before is not null or after is not null").join(classes.select("row", "class", "n"), "row")
-    # at: the element's place in its set's order; a light set's entries are of pairs too and count as first.
-    place = F.when(F.col("n") <= light, 0).otherwise(F.col("at"))
-    lists = stored(lists.groupBy("sig", "class", "n").agg(F.min(place).alias("at")), "lists")
+    lists = stored(lists.select("sig", "class", "n").distinct(), "lists")
     dropped(sets)
     released(spark)
     # Lists with the same members (all shingles of a passage, say) become one, with their number as its weight.
@@ -308,9 +323,10 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     same = Window.partitionBy("x", "y", "k")
     alike = stored(alike.select("sig", F.min("sig").over(same).alias("list"), F.count("*").over(same).alias("weight")), "alike")
     each = lists
-    lists = each.join(alike, "sig").groupBy(F.col("list").alias("sig"), "class", "n").agg(F.min("at").alias("at"), F.first("weight").alias("weight"))
+    lists = each.join(alike, "sig").groupBy(F.col("list").alias("sig"), "class", "n").agg(F.first("weight").alias("weight"))
     lists = stored(lists, "merged-lists")
     dropped(each)
+    dropped(alike)
     released(spark)
 
     # The text of one document of each class that stands in a list.
@@ -324,62 +340,85 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
         whole = right.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
         return stored(whole.mapInArrow(_links(size, percent), "a long, b long"), name)
 
-    links, labels, turn, last = None, None, 0, False
+    stars, labels, turn, last = None, None, 0, False
     while True:
         now = lists if labels is None else lists.join(labels, lists["class"] == labels["node"], "left")
         known = (F.col("class"), F.lit(1)) if labels is None else (F.coalesce("component", "class"), F.coalesce("members", F.lit(1)))
-        now = now.select("sig", "class", "n", "at", "weight", known[0].alias("label"), known[1].alias("members"))
-        # The pivots are of the largest component in the list, others each round.
-        pivot = lambda k: F.min(F.struct(-F.col("members"), F.xxhash64("class", F.lit(turn * PIVOTS + k)).alias("mixed"), "class", "n", "label"))
-        heads = now.groupBy("sig").agg(F.array(*(pivot(k) for k in range(PIVOTS))).alias("pivots"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-        heads = heads.select("sig", F.explode(F.array_distinct("pivots")).alias("pivot")) if not last else heads.select("sig", F.col("pivots")[0].alias("pivot"))
-        heads = stored(heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")).distinct(), "pivots")
-        if not heads.limit(1).count():
-            break
-        different = (F.col("label") != F.col("alabel")) & _close(F.col("n"), F.col("an"), percent)
-        if not last:
-            pairs = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")).distinct()
+        now = now.select("sig", "class", "n", "weight", known[0].alias("label"), known[1].alias("members"))
+        if last:
+            heads = now.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
+            open_lists = stored(now.join(heads, "sig", "left_semi").select("sig", "class", "n", "weight", "label"), "open-lists")
+            pairs, done = _undecided(open_lists, light, percent), [open_lists]
         else:
-            still = stored(now.join(heads.select("sig"), "sig", "left_semi"), "open-lists")
-            held = stored(still.groupBy("class").agg(F.sum("weight").alias("held")), "held")
-            still = stored(still.join(held, "class"), "weighed-lists")
-            released(spark)
-            one = still.select("sig", *(F.col(x).alias(f"{x}_a") for x in ("class", "n", "label", "at", "held")))
-            # A pair that links shares `need` elements among those of each set that come before `ends` (see prefix()).
-            need, ends, ends_a = _needed(F.col("n"), F.col("n_a"), percent)
-            heavy = F.least("n", "n_a") > light
-            may = (need <= F.least("held", "held_a")) & (F.col("at") < ends) & (F.col("at_a") < ends_a)
-            near = (F.col("class_a") < F.col("class")) & (F.col("label") != F.col("label_a")) & _close(F.col("n"), F.col("n_a"), percent)
-            pairs = still.join(one, "sig").filter(near & (~heavy | may))
-            pairs = pairs.groupBy(F.col("class_a").alias("a"), F.col("class").alias("b"), "n_a", "n").agg(F.sum("weight").alias("met"))
-            pairs = pairs.filter(~heavy | (F.col("met") >= need)).select("a", "b")
+            # The pivots are of the largest component in the list, others each round.
+            pivot = lambda k: F.min(F.struct(-F.col("members"), F.xxhash64("class", F.lit(turn * PIVOTS + k)).alias("mixed"), "class", "n", "label"))
+            heads = now.groupBy("sig").agg(F.array(*(pivot(k) for k in range(PIVOTS))).alias("pivots"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+            heads = heads.select("sig", F.explode(F.array_distinct("pivots")).alias("pivot"))
+            heads = stored(heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")).distinct(), "pivots")
+            different = (F.col("label") != F.col("alabel")) & _close(F.col("n"), F.col("an"), percent)
+            pairs, done = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")), [heads]
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        released(spark)
         found = verified(pairs, f"links-{turn}")
         released(spark)
         compared, linked = pairs.count(), found.count()
+        for df in [*done, pairs]:
+            dropped(df)
         if linked:
-            links = found if links is None else links.unionByName(found)
-            stars = stored(components(links), "components")
-            labels = stored(stars.join(stars.groupBy("component").agg(F.count("*").alias("members")), "component"), "labels")
+            # What was linked before is one star for each component.
+            every = found if stars is None else found.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            new_stars = stored(components(every), "components")
+            new_labels = stored(new_stars.join(new_stars.groupBy("component").agg(F.count("*").alias("members")), "component"), "labels")
+            for df in (stars, labels):
+                if df is not None:
+                    dropped(df)
+            stars, labels = new_stars, new_labels
             released(spark)
+        dropped(found)
         if last:
             break
         turn += 1
         last = turn == STAR_ROUNDS or linked * WORTH < compared
+    dropped(lists)
+    dropped(texts)
     if labels is None:
-        joined = classes.select("doc", "n", F.col("class").alias("component"))
-    else:
-        joined = classes.join(labels, classes["class"] == labels["node"], "left").select("doc", "n", F.coalesce("component", "class").alias("component"))
+        return classes.select("doc", "mark", "n", F.col("class").alias("component"))
+    return classes.join(labels, classes["class"] == labels["node"], "left").select("doc", "mark", "n", F.coalesce("component", "class").alias("component"))
+
+
+def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the smallest id it reaches by links).
+
+    Null, empty and wordless texts have no shingles and link with nothing, not even
+    with each other. A null id takes part in links and never is a component's id
+    unless all its ids are null. Repeated rows have equal sets and so link. An empty
+    table gives an empty result; other columns are ignored.
+    """
+    joined = _labelled(docs, id_col, text_col, size, percent)
     least = stored(joined.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "least")
     return joined.join(least, "component", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, all columns, of which each component keeps the one with the smallest id.
+    """The rows of docs, all columns, of which each component keeps one: that with the smallest id (null last).
 
-    Of several rows with that id, the one with the smallest text stays; documents
-    without shingles all stay.
+    Of several texts with that id the one with the smallest hash stays, of several rows
+    with that id and text one. Documents without shingles all stay; an empty table
+    stays empty.
     """
-    known = similarity_components(docs, id_col, text_col, size, percent)
-    stay = stored(known.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct(), "stay")
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__id"]), "left_semi")
+    joined = stored(_labelled(docs, id_col, text_col, size, percent).filter("n > 0"), "labelled")
+    place = F.struct(F.isnull("doc").alias("none"), "doc", "mark")
+    groups = stored(joined.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "groups")
+    members = joined.join(groups, "component")
+    is_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("mark") == F.col("first.mark"))
+    of, mark, row = (unused(docs, x) for x in ("__of", "__mark", "__row"))
+    gone = stored(members.filter(~is_first).select("doc", "mark").distinct().toDF(of, mark), "gone")
+    same = lambda df, other: df[id_col].eqNullSafe(other[of]) & (F.xxhash64(df[text_col]) == other[mark])
+    stay = docs.join(gone, same(docs, gone), "left_anti")
+    twice = stored(members.filter(is_first).groupBy("doc", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows").toDF(of, mark), "repeated-rows")
+    if not twice.limit(1).count():
+        return stay
+    columns = [F.col(c) for c in docs.columns]
+    once = stay.join(twice, same(stay, twice), "left_semi").groupBy(F.col(id_col).alias(of), F.xxhash64(text_col).alias(mark))
+    once = once.agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(row)).select(f"{row}.*")
+    return stay.join(twice, same(stay, twice), "left_anti").unionByName(once)

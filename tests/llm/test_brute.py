@@ -369,3 +369,35 @@ def test_label_model_shares_weight():
 
 def test_shared_dir(spark):
     assert common.new_folder(spark, "x").startswith(common.shared_dir(spark))
+
+
+def test_long_words_have_hashes_of_their_own():
+    a, b = "a" * 64, "b" * 64
+    swapped = [f"{a}{b}{b}{a} two three four five", f"{b}{a}{a}{b} two three four five"]
+    assert not set(jaccard_join.shingle_sets([swapped[0]])[0]) & set(jaccard_join.shingle_sets([swapped[1]])[0])
+    assert (jaccard_join.shingle_sets([("X" * 300) + " y"])[0] == jaccard_join.shingle_sets([("x" * 300) + "  Y"])[0]).all()
+
+
+def test_jaccard_loose_group(spark, monkeypatch):
+    """Near copies that lie close to the limit of each other, more of them than pivots, beside copies and others."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    data = []
+    for i in range(260):
+        own = list(base)
+        for _ in range(rng.choice((1, 2, 2, 3))):
+            own[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        data.append((i, " ".join(own)))
+    data += [(1000 + i, t) for i, t in data[::9]] + [(2000 + i, " ".join(f"z{rng.randrange(300)}" for _ in range(40))) for i in range(100)]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = {i: top for i, (_, top) in brute_components(dict(data)).items()}
+    assert len(set(want.values())) > 110  # also members that link with none
+    for known in (64, 3):
+        monkeypatch.setattr(jaccard_join, "KNOWN", known)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard_join.similarity_components(df).collect()} == want
+
+
+def test_one_of_each_keeps_one_row(spark):
+    data = [(None, "a b c d e f", 1), (None, "a b c d e f", 2), (5, "k l m n o", 1), (5, "k l m n o", 2), (5, "k l m n o p q", 3), (None, None, 1), (None, " ", 2), (7, "A b c d e f", 1)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(data, "doc_id long, text string, __of int")).collect()
+    assert collections.Counter((r["doc_id"], (r["text"] or "").strip()) for r in kept) == {(5, "k l m n o"): 1, (5, "k l m n o p q"): 1, (7, "A b c d e f"): 1, (None, ""): 2}
