@@ -1,11 +1,14 @@
-"""Quality rules per document, and per host with an empirical beta prior.
-
-A document fails the base rule if it is too short or repeats itself. Failures are
-counted by host (for tables without an address the ``source`` column is the host);
-a beta prior fitted to all hosts by moments shrinks each host's rate, so that a few
-failures at a small host do not condemn it. A host is rejected if even the low end
-of its rate (posterior mean less two standard deviations) is above ``max_rate``; its
-documents then go, the others stay as the base rule says.
+"""Quality rules per document, and per host with an empirical beta prior for each rule.
+
+A document fails the base rule if it is too short or repeats itself. Failures of every
+rule (those two, repeated lines, symbols) are counted by host; for tables without an
+address the ``source`` column is the host. For each rule a beta prior is fitted to the
+hosts' rates by moments, in which a host counts as PRIOR_CAP documents at most, so that
+no large host sets the standard it is measured by. The prior shrinks each host's rate:
+a few failures at a small host do not condemn it. A host is rejected if, for some rule,
+the low end of its rate (posterior mean less two standard deviations) is above FACTOR
+times the prior's mean and above LEAST_RATE; its documents then go, the others stay as
+the base rule says.
 """
 
 from __future__ import annotations
@@ -23,7 +26,12 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
-MAX_RATE, DEVIATIONS = 0.5, 2.0
+#: For hosts: a repeated line for every so many words, and a symbol for every so many characters of words.
+LINE_WORDS, SYMBOL_SHARE = 20, 10
+#: When a host is rejected: so many times the prior's mean, and this rate, at the low end.
+FACTOR, LEAST_RATE, DEVIATIONS = 3.0, 0.25, 2.0
+#: So many documents of a host count for the prior at most, and bounds of the prior's weight in documents.
+PRIOR_CAP, STRENGTH = 100, (1.0, 1e4)
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -77,53 +85,70 @@ def document_stats(text: str | Column) -> Column:
     return F.pandas_udf(_stats, kind)(F.col(text) if isinstance(text, str) else text)
 
 
+def rules(stats: str = "stats") -> dict[str, Column]:
+    """Each rule's name and whether a document fails it."""
+    n, chars, symbols, lines, again = (F.col(f"{stats}.{x}") for x in COUNTS)
+    return {"short": n < MIN_WORDS, "repeats": 100 * again > MAX_REPEAT_PCT * n, "lines": LINE_WORDS * lines > n, "symbols": SYMBOL_SHARE * symbols > chars}
+
+
 def base_failed(stats: str = "stats") -> Column:
-    n, again = F.col(f"{stats}.n_words"), F.col(f"{stats}.n_repeat_words")
-    return (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PCT * n)
+    own = rules(stats)
+    return own["short"] | own["repeats"]
 
 
-def host_verdicts(counts: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
-    """host, n, failures -> host, n, failures, rate (shrunk), rejected. The null host is a host."""
-    k, n = F.col("failures").cast("double"), F.col("n")
-    total, fails, squares, many = counts.agg(F.sum("n"), F.sum(k), F.sum(k * k / n), F.count("*")).first()
-    if not total:
-        return counts.select("host", "n", "failures", F.lit(0.0).alias("rate"), F.lit(False).alias("rejected"))
-    mean = fails / total
-    spread = squares / total - mean * mean - many * mean * (1 - mean) / total
-    strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 1e4) if spread > 1e-12 else 1e4
-    a, b = k + mean * strength, n - k + (1 - mean) * strength
-    rate = a / (a + b)
-    deviation = F.sqrt(rate * (1 - rate) / (a + b + 1))
-    return counts.select("host", "n", "failures", rate.alias("rate"), (rate - DEVIATIONS * deviation > max_rate).alias("rejected"))
+def host_verdicts(counts: DataFrame, factor: float = FACTOR, least_rate: float = LEAST_RATE) -> DataFrame:
+    """host, n, and for each rule the number of failures -> host, n, rate_<rule> (shrunk), rejected. The null host is a host.
+
+    One row of sums goes to the driver. Without hosts the result is empty.
+    """
+    n, names = F.col("n").cast("double"), [c for c in counts.columns if c not in ("host", "n")]
+    weight = F.least(n, F.lit(float(PRIOR_CAP)))
+    sums = [F.sum(weight), F.sum(weight / n)]
+    for x in names:
+        p = F.col(x) / n
+        sums += [F.sum(weight * p), F.sum(weight * p * p)]
+    total, parts, *found = counts.agg(*sums).first()
+    rates, bad = [], F.lit(False)
+    for i, x in enumerate(names):
+        mean, squares = (v / total for v in found[2 * i : 2 * i + 2]) if total else (0.0, 0.0)
+        spread = squares - mean * mean - mean * (1 - mean) * parts / total if total else 0.0
+        strength = min(max(mean * (1 - mean) / spread - 1, STRENGTH[0]), STRENGTH[1]) if spread > 1e-12 else STRENGTH[1]
+        rate = (F.col(x) + mean * strength) / (n + strength)
+        low = rate - DEVIATIONS * F.sqrt(rate * (1 - rate) / (n + strength + 1))
+        rates.append(rate.alias(f"rate_{x}"))
+        bad = bad | (low > max(factor * mean, least_rate))
+    return counts.select("host", "n", *rates, bad.alias("rejected"))
 
 
 def _by_host(marked: DataFrame) -> DataFrame:
-    return stored(marked.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("failures")), "hosts")
+    """marked: host and a flag for each rule."""
+    return stored(marked.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(x).alias(x) for x in marked.columns if x != "host")), "hosts")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document: id, the five counts, base_failed, kept, host_rate.
+    """One row per document: id, the five counts, base_failed, kept, host_rejected, and its host's rate_<rule>.
 
     Null and empty texts have no words and so fail; repeated rows count as often as
     they occur; an empty table gives an empty result; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     seen = docs.select(F.col(id_col).alias("doc"), F.col(host_col).alias("host"), document_stats(text_col).alias("stats"))
-    seen = stored(seen.select("doc", "host", "stats.*", base_failed().alias("failed")), "quality")
-    verdicts = host_verdicts(_by_host(seen)).select(F.col("host").alias("of"), "rate", "rejected")
+    seen = stored(seen, "quality")
+    verdicts = host_verdicts(_by_host(seen.select("host", *(c.alias(x) for x, c in rules().items())))).drop("n").withColumnRenamed("host", "of")
     out = seen.join(verdicts, F.col("host").eqNullSafe(F.col("of")))
-    return out.select(F.col("doc").alias(id_col), *COUNTS, F.col("failed").alias("base_failed"), (~F.col("failed") & ~F.col("rejected")).alias("kept"), F.col("rate").alias("host_rate"))
+    kept_ = ~base_failed() & ~F.col("rejected")
+    return out.select(F.col("doc").alias(id_col), "stats.*", base_failed().alias("base_failed"), kept_.alias("kept"), F.col("rejected").alias("host_rejected"), *(c for c in verdicts.columns if c.startswith("rate_")))
 
 
 def kept_documents(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of docs, all columns, that the base rule and their host's verdict keep.
 
     Reads docs twice instead of shuffling texts: once for the hosts' counts, once for
-    the rows. Nulls and repeated rows as in quality().
+    the rows. Nulls, empties, repeated rows and empty tables as in quality().
     """
     bounded_batches(docs.sparkSession)
     stats = docs.select(F.col(host_col).alias("host"), document_stats(text_col).alias("stats"))
-    verdicts = host_verdicts(_by_host(stats.select("host", base_failed().alias("failed"))))
+    verdicts = host_verdicts(_by_host(stats.select("host", *(c.alias(x) for x, c in rules().items()))))
     host, stats = unused(docs, "__host"), unused(docs, "__stats")
     bad = verdicts.filter("rejected").select(F.col("host").alias(host))
     passed = docs.withColumn(stats, document_stats(text_col)).filter(~base_failed(stats)).drop(stats)

@@ -48,7 +48,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents")).drop("host_rate")
+    found = quality(table(spark, sf_dir, "documents"))
+    return found.drop(*(c for c in found.columns if c.startswith("rate_")))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,13 +110,18 @@ ORACLE: dict[str, str] = {
                      coalesce(dup.n_dup_lines, 0) AS n_dup_lines, coalesce(rep.n_repeat_words, 0) AS n_repeat_words
               FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN dup USING (rid)),
         f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s),
-        h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS k FROM f GROUP BY source),
-        m AS (SELECT sum(k) / sum(n) AS mu, sum(k * k / n) / sum(n) AS sq, count(*) / sum(n) AS inv FROM h),
-        p AS (SELECT mu, CASE WHEN sq - mu * mu - inv * mu * (1 - mu) > 1e-12
-                              THEN least(greatest(mu * (1 - mu) / (sq - mu * mu - inv * mu * (1 - mu)) - 1, 1.0), 1e4) ELSE 1e4 END AS strength FROM m),
-        v AS (SELECT source, (k + mu * strength) / (n + strength) AS rate, n + strength AS weight FROM h, p)
+        h AS (SELECT source, rule, count(*)::DOUBLE AS n, count_if(fails)::DOUBLE / count(*) AS p
+              FROM (SELECT source, unnest([1, 2, 3, 4]) AS rule,
+                           unnest([n_words < 20, 100 * n_repeat_words > 30 * n_words, 20 * n_dup_lines > n_words, 10 * n_symbols > word_chars]) AS fails FROM f)
+              GROUP BY source, rule),
+        m AS (SELECT rule, sum(least(n, 100) * p) / sum(least(n, 100)) AS mu, sum(least(n, 100) * p * p) / sum(least(n, 100)) AS sq,
+                     sum(least(n, 100) / n) / sum(least(n, 100)) AS inv FROM h GROUP BY rule),
+        p AS (SELECT rule, mu, CASE WHEN sq - mu * mu - inv * mu * (1 - mu) > 1e-12
+                                    THEN least(greatest(mu * (1 - mu) / (sq - mu * mu - inv * mu * (1 - mu)) - 1, 1.0), 1e4) ELSE 1e4 END AS strength FROM m),
+        q AS (SELECT source, mu, (h.n * h.p + mu * strength) / (h.n + strength) AS rate, h.n + strength + 1 AS weight FROM h JOIN p USING (rule)),
+        v AS (SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / weight) > greatest(3 * mu, 0.25)) AS rejected FROM q GROUP BY source)
         SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words, f.base_failed,
-               NOT f.base_failed AND NOT (v.rate - 2 * sqrt(v.rate * (1 - v.rate) / (v.weight + 1)) > 0.5) AS kept
+               NOT f.base_failed AND NOT v.rejected AS kept, v.rejected AS host_rejected
         FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source""",
     "op6_warc": r"""
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),

@@ -82,7 +82,7 @@ class _Source:
 
     def need(self, n: int) -> bytes:
         if len(self.held) < n:
-            self.held += self.file.read_at(max(n - len(self.held), 1 << 16), self.at + len(self.held)) if self.at + len(self.held) < self.size else b""
+            self.held += self.file.read_at(max(n - len(self.held), 1 << 16, len(self.held)), self.at + len(self.held)) if self.at + len(self.held) < self.size else b""
         return self.held
 
     def skip(self, n: int) -> None:
@@ -188,7 +188,7 @@ class WarcReader(DataSourceReader):
         store, path = file_system(self.path)
         found = store.get_file_info(fs.FileSelector(path, recursive=True)) if store.get_file_info(path).type == fs.FileType.Directory else [store.get_file_info(path)]
         found = [x for x in found if x.type == fs.FileType.File]
-        lists = [x for x in found if x.base_name == "_manifest.json"]
+        lists = [x for x in found if x.base_name.startswith("_manifest-")]
         listed = None
         if lists:
             listed = {f"{x.path.rpartition('/')[0]}/{name}" for x in lists for name in json.loads(store.open_input_file(x.path).read())}
@@ -266,7 +266,7 @@ class WarcWriter(DataSourceArrowWriter):
         store, path = file_system(self.path)
         store.create_dir(path, recursive=True)
         names = sorted(n for m in messages if m is not None for n in m.names)
-        with store.open_output_stream(f"{path}/_manifest.json") as out:
+        with store.open_output_stream(f"{path}/_manifest-{uuid.uuid4().hex}.json") as out:  # one of its own for each write
             out.write(json.dumps(names).encode())
 
     def abort(self, messages: list) -> None:
@@ -331,7 +331,11 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def archived_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null payloads are empty, repeated rows and null ids as in page_records(); an empty
+    table gives an empty result; other columns are ignored, whatever their names.
+    """
     path = new_folder(spark, "warc")
     write_warc(page_records(pages), path)
     number = lambda c: F.substring_index(c, ":", -1).cast("long")

@@ -401,3 +401,27 @@ def test_one_of_each_keeps_one_row(spark):
     data = [(None, "a b c d e f", 1), (None, "a b c d e f", 2), (5, "k l m n o", 1), (5, "k l m n o", 2), (5, "k l m n o p q", 3), (None, None, 1), (None, " ", 2), (7, "A b c d e f", 1)]
     kept = jaccard_join.one_of_each(spark.createDataFrame(data, "doc_id long, text string, __of int")).collect()
     assert collections.Counter((r["doc_id"], (r["text"] or "").strip()) for r in kept) == {(5, "k l m n o"): 1, (5, "k l m n o p q"): 1, (7, "A b c d e f"): 1, (None, ""): 2}
+
+
+def test_hosts_decide(spark):
+    """Bad hosts, a large one with a third of all rows and a small one, go; a tiny one with a failure and good ones stay."""
+    rng = random.Random(4)
+    good = lambda: " ".join(f"w{rng.randrange(10**5)}" for _ in range(30))
+    data = [(i, good() if rng.random() < 0.95 else "too short", f"host{i % 12}") for i in range(600)]
+    data += [(1000 + i, good() if i % 10 < 3 else "too short", "large") for i in range(400)]
+    data += [(2000 + i, good() + " # $ % & * | < > # $ % & * | < > # $ % & * | < >", "symbols") for i in range(25)]
+    data += [(3000, "too short", "tiny"), (3001, good(), "tiny"), (3002, good(), None), (3003, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = quality_rules.quality(df).join(df.select("doc_id", "source"), "doc_id").collect()
+    assert {r["source"] for r in got if r["host_rejected"]} == {"large", "symbols"}
+    assert all(r["kept"] == (not r["base_failed"] and r["source"] not in ("large", "symbols")) for r in got)
+    assert sorted(r["doc_id"] for r in quality_rules.kept_documents(df).collect()) == sorted(r["doc_id"] for r in got if r["kept"])
+
+
+def test_warc_second_write(spark, tmp_path):
+    for part in ([(1, "u", "x" * 200)], [(2, "v", "y" * 300), (3, "w", "z")]):
+        warc.write_warc(warc.page_records(spark.createDataFrame(part, "page_id long, url string, html string")), str(tmp_path / "a"))
+    assert sorted(r["record_id"] for r in warc.read_warc(spark, str(tmp_path / "a"), "record_id string").collect()) == ["urn:page:1", "urn:page:2", "urn:page:3"]
+    large = b"".join(warc.record("response", f"urn:page:{i}", "http://a", None, None, None, None, 3_000_000, bytes([65 + i]) * 3_000_000) for i in range(2))
+    (tmp_path / "large.warc").write_bytes(large)
+    assert [len(r["payload"]) for r in warc.read_warc(spark, str(tmp_path / "large.warc")).select("payload").collect()] == [3_000_000] * 2
