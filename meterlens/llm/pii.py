@@ -4,11 +4,14 @@ The base patterns find e-mail addresses, IP addresses, card and phone numbers of
 form; what they find stays. Looser generators propose overlapping spans besides
 (addresses spelled with "at" and "dot", numbers with other separators or no country
 code). Boosted trees score a span by its format and its surroundings; a kind's
-threshold is the least at which held-back training spans are at least TARGET precise.
+threshold is the least at which the training spans held back from the trees are at
+least TARGET precise.
 
 The trees learn from SAMPLE documents at most (those with the smallest hash of their
-text that hold a digit, @ or +): candidates that a base pattern confirms are positive,
-also rewritten in looser forms where they stand, the others negative.
+text that hold a digit, @ or +), of LEARN_CHARS characters at most; both are parameters.
+Candidates that a base pattern confirms are positive, also rewritten in looser forms
+where they stand (REWRITES of each kind in a text), the others negative. All texts are
+searched, whatever their length; the time is in proportion to it.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,16 +39,21 @@ BASE = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 _AT, _DOT = r"(?:\s?@\s?|\s?[\[(]\s?at\s?[\])]\s?|\sat\s)", r"(?:\.|\s?[\[(]\s?dot\s?[\])]\s?|\sdot\s)"
+_LOCAL, _HOST = re.compile(r"[A-Za-z0-9._%+-]*"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DOTTED, _PART = re.compile(r"[0-9]+(?:\.[0-9]+)*"), re.compile(r"[0-9]+")
+#: Repeats are bounded and an address starts where a word does, so that long runs of letters cost no more than others.
 LOOSE = {
-    "email": re.compile(rf"[A-Za-z0-9][A-Za-z0-9_%+-]*(?:{_DOT}[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)*", re.I),
+    "email": re.compile(rf"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9_%+-]{{0,63}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,63}}){{0,6}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{0,6}}", re.I),
     "ip": re.compile(r"[0-9]{1,3}(?:\s?(?:\.|\[\.\])\s?[0-9]{1,3}){3}|(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}"),
     "card": re.compile(r"[0-9](?:[ ./\-]{0,2}[0-9]){11,20}"),
     "phone": re.compile(r"(?:\+|00|\()?[0-9](?:[ ()./\-]{0,2}[0-9]){6,15}"),
 }
 #: Common ends of host names.
 TOP = set("com org net edu gov io de fr es uk us eu ch at it nl co info biz".split())
-SAMPLE, TARGET, LEAST = 3000, 0.98, 0.9
+SAMPLE, LEARN_CHARS, REWRITES = 3000, 20_000, 2
+TARGET, LEAST = 0.98, 0.9
 DIGIT = re.compile(r"[0-9]")
+WORDS = re.compile("[a-z]{2,9}")
 SPELLED = re.compile(r"[\[(]\s?(?:at|dot)\s?[\])]|\s(?:at|dot)\s[^.]{1,60}\sdot\s", re.I)
 # Words that announce personal data, and words that announce other numbers.
 NEAR = re.compile(r"\b(?:e-?mail|mail|contact|reach|write|phone|tel|telephone|call|mobile|fax|ip|address|host|server|card|visa|mastercard|amex|credit|payment)\b", re.I)
@@ -63,17 +72,40 @@ def _valid(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(int(p) <= 255 for p in found.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.split("."))
     digits = re.sub("[^0-9]", "", found)
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the e-mail pattern, found from each @: the pattern itself would try every letter of a long run."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at - _LOCAL.match(text[done:at][::-1]).end()
+        host = _HOST.match(text, at + 1) if start < at else None
+        if host:
+            yield start, host.end()
+        done = host.end() if host else at + 1
+        at = text.find("@", done)
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the IP pattern: each four parts in turn of numbers joined by dots."""
+    for chain in _DOTTED.finditer(text):
+        if chain[0].count(".") >= 3:
+            parts = [m.span() for m in _PART.finditer(text, *chain.span())]
+            for k in range(3, len(parts), 4):
+                yield parts[k - 3][0], parts[k][1]
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) by kind, then start."""
+    """(kind, start, end) by kind, then start: the leftmost matches of BASE that do not overlap, those that fail dropped."""
     if not text or not (DIGIT.search(text) or "@" in text):
         return []
-    needs = {"email": "@" in text, "ip": "." in text, "card": True, "phone": "+" in text}
-    return [(k, m.start(), m.end()) for k in KINDS if needs[k] for m in BASE[k].finditer(text) if _valid(k, m[0])]
+    found = {"email": _emails(text) if "@" in text else (), "ip": _addresses(text) if "." in text else ()}
+    found["card"] = (m.span() for m in BASE["card"].finditer(text))
+    found["phone"] = (m.span() for m in BASE["phone"].finditer(text)) if "+" in text else ()
+    return [(k, s, e) for k in KINDS for s, e in found[k] if _valid(k, text[s:e])]
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -137,38 +169,67 @@ def learn(texts: list[str]) -> tuple[BoostedTrees, dict[str, float]]:
 
     for text in texts:
         take(text)
-        for kind, start, end in base_spans(text)[:4]:
-            other = _loosened(kind, text[start:end], rng)
-            take(text[:start] + other + text[end:], {kind}, (start, start + len(other)))
-        words = re.findall("[a-z]{2,9}", text[:3000])
+        base = base_spans(text)
+        for own in KINDS:
+            spans = [x for x in base if x[0] == own]
+            for kind, start, end in spans if len(spans) <= REWRITES else rng.sample(spans, REWRITES):
+                other = _loosened(kind, text[start:end], rng)
+                take(text[:start] + other + text[end:], {kind}, (start, start + len(other)))
+        words = [m.span() for m in WORDS.finditer(text)]
         if len(words) > 9 and rng.random() < 0.3:  # the same words in prose
-            a, b, c = rng.sample(words, 3)
+            (a, b, c), at = (text[slice(*w)] for w in rng.sample(words, 3)), rng.choice(words)[1]
             plain = f" {a} at {b} dot {c} "
-            take(text[:200] + plain + text[200:400], set(), (200, 200 + len(plain)))
+            take(text[:at] + plain + text[at:], set(), (at, at + len(plain)))
     if not any(y):
         return BoostedTrees(), dict.fromkeys(KINDS, 2.0)
     x, y, kinds = np.array(x), np.array(y), np.array(kinds)
     back = np.random.default_rng(3).random(len(y)) < 0.3
-    held = BoostedTrees().fit(x[~back], y[~back]).score(x)
+    trees = BoostedTrees().fit(x[~back], y[~back])
+    score = trees.score(x[back])  # rows that these trees have not seen
     limits = {}
     for kind in KINDS:
-        own = back & (kinds == kind)
-        order = np.argsort(-held[own], kind="stable")
-        precise = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
+        own = kinds[back] == kind
+        order = np.argsort(-score[own], kind="stable")
+        precise = np.cumsum(y[back][own][order]) / np.arange(1, own.sum() + 1)
         good = np.flatnonzero(precise >= TARGET)
-        limits[kind] = max(LEAST, float(held[own][order][good[-1]])) if len(good) else 2.0
-    return BoostedTrees().fit(x, y), limits
+        limits[kind] = max(LEAST, float(score[own][order][good[-1]])) if len(good) else 2.0
+    return trees, limits
+
+
+class _Taken:
+    """Spans that do not overlap."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
 
 
 def all_spans(text: str, base: list[tuple[str, int, int]], trees: BoostedTrees, limits: dict[str, float]) -> list[tuple[str, int, int]]:
     """The base spans and, of the candidates that overlap none of them, the best ones over their kind's threshold."""
-    free = [c for c in candidates(text) if not any(s < c[2] and c[1] < e for _, s, e in base)]
+    found = candidates(text)
+    taken = _Taken([(s, e) for _, s, e in base]) if found else None
+    free = [c for c in found if not taken.meets(c[1], c[2])]
     if free:
-        score = trees.score(np.array([features(text, *c) for c in free]))
+        score = np.concatenate([trees.score(np.array([features(text, *c) for c in free[k : k + 5000]])) for k in range(0, len(free), 5000)])
         out = list(base)
         for i in sorted(range(len(free)), key=lambda i: (-score[i], free[i])):
-            if score[i] >= limits[free[i][0]] and not any(s < free[i][2] and free[i][1] < e for _, s, e in out):
+            if score[i] >= limits[free[i][0]] and not taken.meets(*free[i][1:]):
                 out.append(free[i])
+                taken.add(*free[i][1:])
         return sorted(out, key=lambda c: (KINDS.index(c[0]), c[1]))
     return base
 
@@ -192,29 +253,31 @@ def _find(trees: BoostedTrees, limits: dict[str, float], with_text: bool):
                 base = base_spans(text)
                 spans = all_spans(text, base, trees, limits)
                 joined = [",".join(f"{k}:{s}:{e}" for k, s, e in x) for x in (base, spans)]
-                rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), hashlib.sha256(joined[0].encode()).hexdigest(), joined[1], redacted(text, spans) if with_text else None))
-            columns = list(zip(*rows)) or [[]] * 7
-            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string())]
-            names = ["doc", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+                rows.append((*(sum(k == kind for k, _, _ in base) for kind in KINDS), hashlib.sha256(joined[0].encode()).hexdigest(), joined[1], len(spans), redacted(text, spans) if with_text else None))
+            columns = list(zip(*rows)) or [[]] * 8
+            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.string()), pa.array(columns[6], pa.int64())]
+            names = ["doc", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
             if with_text:
-                arrays, names = [*arrays, pa.array(columns[6], pa.string())], [*names, "redacted"]
+                arrays, names = [*arrays, pa.array(columns[7], pa.string())], [*names, "redacted"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, with_text: bool = False) -> DataFrame:
-    """One row per document: id, counts of base spans by kind, base_sha256, spans (kind:start:end), and with_text: redacted.
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, with_text: bool = False, learn_chars: int = LEARN_CHARS) -> DataFrame:
+    """One row per document: id, counts of base spans by kind, base_sha256, spans (kind:start:end), n_spans, and with_text: redacted.
+
+    sample, learn_chars: the trees learn from so many texts at most, of so many characters at most.
 
     Null and empty texts have no spans. Null ids stay null, repeated rows repeat; an
     empty table gives an empty result; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    with_hash = own.filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= 20_000)).select(F.xxhash64("text").alias("h"), "text")
+    with_hash = own.filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= learn_chars)).select(F.xxhash64("text").alias("h"), "text")
     last = with_hash.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     some = with_hash.filter(F.col("h") <= F.lit(last)).select("text").distinct().orderBy("text")  # texts to learn from
     trees, limits = learn([r["text"] for r in some.toLocalIterator()])
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = f"doc {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + ", redacted string" * with_text
+    fields = f"doc {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long" + ", redacted string" * with_text
     return own.mapInArrow(_find(trees, limits, with_text), fields).withColumnRenamed("doc", id_col)

@@ -4,6 +4,7 @@ import collections
 import gzip
 import os
 import random
+import time
 import re
 import zlib
 
@@ -425,3 +426,63 @@ def test_warc_second_write(spark, tmp_path):
     large = b"".join(warc.record("response", f"urn:page:{i}", "http://a", None, None, None, None, 3_000_000, bytes([65 + i]) * 3_000_000) for i in range(2))
     (tmp_path / "large.warc").write_bytes(large)
     assert [len(r["payload"]) for r in warc.read_warc(spark, str(tmp_path / "large.warc")).select("payload").collect()] == [3_000_000] * 2
+
+
+def plain_base(text):
+    """The base patterns as they are."""
+    return [(k, m.start(), m.end()) for k in pii.KINDS for m in pii.BASE[k].finditer(text) if pii._valid(k, m[0])]
+
+
+def test_base_spans_are_the_patterns(texts):
+    rng = random.Random(12)
+    data = ["".join(rng.choice("a1.@-+ ()2b_%4\n") for _ in range(rng.randrange(60))) for _ in range(4000)] + list(filter(None, texts.values()))
+    data += ["1.2.3.4.5.6.7.8.9", "a@b@c.de@f.gh", "@a.b", "1.2.3.0000255", "x@y..z", "1..2.3.4.5", "300.1.1.1.2.3.4"]
+    for t in data:
+        assert pii.base_spans(t) == plain_base(t)
+
+
+def test_pii_long_texts():
+    """Long runs without a break, very long numbers, and many spans take time in proportion."""
+    trees, limits = pii.learn(["call +1 (415) 555-0132 or mail a.b@c.org from 10.0.0.1 " + "some words in prose " * 5] * 40)
+    for t in ("x" * 400_000 + "@a", "7" * 400_000 + ".1.2.3 a@b.de", ("mail a.b@c.example or 10.0.0.1 " * 20_000), "1." * 200_000, "a.b-c_" * 60_000 + "@"):
+        began = time.perf_counter()
+        pii.all_spans(t, pii.base_spans(t), trees, limits)
+        assert time.perf_counter() - began < 20
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+
+
+def test_pii_recall_and_precision(spark, texts):
+    """Loose forms planted in other texts than those learned from; numbers that are none beside them."""
+    own = [t for t in texts.values() if t]
+    rng, words_ = random.Random(13), "the report of this week was sent to all of them and then some more came in later".split()
+    strict = {"email": lambda: f"{rng.choice(words_)}.{rng.randrange(99)}@{rng.choice(words_)}.org", "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)), "phone": lambda: f"+1 ({rng.randrange(200, 999)}) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)}"}
+
+    def card():
+        while True:
+            d = "4" + "".join(str(rng.randrange(10)) for _ in range(15))
+            if pii.luhn(d):
+                return " ".join(d[i : i + 4] for i in range(0, 16, 4))
+
+    strict["card"] = card
+    lead = {"email": "contact", "ip": "server", "phone": "call", "card": "card"}
+    prose = lambda n: " ".join(rng.choice(words_) for _ in range(n))
+    learned = own + [f"{prose(12)} {lead[k]} {strict[k]()} {prose(12)}" for k in strict for _ in range(60)] + [f"{prose(8)} version {rng.randrange(9)}.{rng.randrange(99)}.{rng.randrange(9)} page {rng.randrange(10**6)} id {rng.randrange(10**9)} {prose(8)}" for _ in range(120)]
+    trees, limits = pii.learn(learned)
+    hit = {k: [0, 0] for k in strict}
+    wrong = said = 0
+    for k in strict:
+        for _ in range(100):
+            before, found = prose(10) + f" {lead[k]} ", pii._loosened(k, strict[k](), rng)
+            t = before + found + " " + prose(10)
+            base = pii.base_spans(t)
+            spans = pii.all_spans(t, base, trees, limits)
+            hit[k][0] += any(s < len(before) + len(found) and e > len(before) for _, s, e in spans)
+            hit[k][1] += 1
+            said += len(spans)
+            wrong += sum(not (s < len(before) + len(found) and e > len(before)) for _, s, e in spans)
+    for _ in range(200):
+        t = f"{prose(9)} version {rng.randrange(9)}.{rng.randrange(99)}.{rng.randrange(9)} and page {rng.randrange(10**6)} at noon {prose(9)}"
+        found = pii.all_spans(t, pii.base_spans(t), trees, limits)
+        said, wrong = said + len(found), wrong + len(found)
+    assert sum(a for a, _ in hit.values()) >= 0.9 * sum(b for _, b in hit.values()), hit
+    assert wrong <= 0.1 * said
