@@ -3,7 +3,9 @@
 Documents are dealt out by ranges of their id, so that the files in order hold them in
 ascending order. A task streams its documents: ids gather until a run of blocks is full,
 which is coded and written; memory holds one run. A file ends with its documents' ids
-and lengths and a footer. Only files of tasks that succeeded are in the manifest table.
+and lengths and a footer. Beside the files stands a manifest: the files of the tasks that
+succeeded, in order, with the ids they hold. It is written last, so a folder without it
+holds nothing that can be read.
 
 A file: MAGIC, blocks (four 32-bit numbers: ids, bytes of code, crc32 of the ids, crc32
 of the code; then the code), the zlib-compressed index (per document: id, whether it is
@@ -13,6 +15,7 @@ numbers are little-endian.
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -32,6 +35,7 @@ MAGIC = b"IDBLOCK1"
 HEAD, FOOT = struct.Struct("<IIII"), struct.Struct("<QQQQ8s")
 RUN = BLOCK * LANES
 END_ID = 2
+MANIFEST = "_manifest.json"
 
 
 class IdWriter:
@@ -131,22 +135,36 @@ def _write(path: str, tokenizer: str, end_id: int):
     return run
 
 
-def write_token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> DataFrame:
-    """Writes docs in ascending order of their id (nulls first; rows of one id by text) and returns the manifest: part, name, ids, docs, blocks, bytes.
+def write_token_ids(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int = END_ID) -> list[dict]:
+    """Writes docs in ascending order of their id and returns the manifest: a row per file with name, ids, docs, blocks, bytes.
 
-    A null or empty text is its end id alone. An empty table writes no file.
+    Null ids come first; rows of one id are in the order of their text's hash, so that
+    many of them need not go to one task. A null or empty text is its end id alone. An
+    empty table writes a manifest without files. A folder that has a manifest already is refused.
     """
     bounded_batches(docs.sparkSession)
+    store, folder = file_system(path)
+    if store.get_file_info(f"{folder}/{MANIFEST}").type.name != "NotFound":
+        raise ValueError(f"{path} holds token ids already")
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    own = own.repartitionByRange("doc").sortWithinPartitions("doc", "text")
-    return stored(own.mapInArrow(_write(path, tokenizer, end_id), "part long, name string, ids long, docs long, blocks long, bytes long"), "id-files")
-
-
-def _read(path: str):
+    mixed = F.xxhash64("text")
+    own = own.repartitionByRange("doc", mixed).sortWithinPartitions("doc", mixed, "text")
+    files = stored(own.mapInArrow(_write(path, tokenizer, end_id), "part long, name string, ids long, docs long, blocks long, bytes long"), "id-files")
+    manifest = [r.asDict() for r in sorted(files.collect())]
+    for r in manifest:
+        del r["part"]
+    store.create_dir(folder, recursive=True)
+    with store.open_output_stream(f"{folder}/{MANIFEST}", compression=None) as out:
+        out.write(json.dumps(manifest).encode())
+    return manifest
+
+
+def _read(path: str, files: list[tuple[str, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = file_system(path)
         for batch in batches:
-            for name, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k in batch.column(0).to_pylist():
+                name, at = files[k]
                 rows: list[tuple] = []
                 with store.open_input_file(f"{folder}/{name}") as file:
                     for doc, ids in read_ids(file):
@@ -165,17 +183,21 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc", "start", "n_tokens", "ids_crc32"])
 
 
-def read_token_ids(spark: SparkSession, path: str, manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document, from the files: id, start, n_tokens, ids_crc32. What the driver gathers is a row per file."""
+def read_token_ids(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
+    """One row per document, from the files that the manifest lists: id, start, n_tokens, ids_crc32. A task reads one file."""
+    store, folder = file_system(path)
+    with store.open_input_file(f"{folder}/{MANIFEST}") as file:
+        listed = json.loads(file.read())
     files, at = [], 0
-    for r in sorted(manifest.select("part", "name", "ids").collect()):
+    for r in listed:
         files.append((r["name"], at))
         at += r["ids"]
-    rows = spark.createDataFrame(files, "name string, at long").repartition(max(1, len(files)))
-    return rows.mapInArrow(_read(path), "doc long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc", id_col)
+    rows = spark.range(0, len(files), 1, max(1, len(files)))
+    return rows.mapInArrow(_read(path, files), "doc long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("doc", id_col)
 
 
 def token_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
-    """docs written as token ids and read back."""
+    """docs written as token ids and read back. Nulls, empties and repeats as in write_token_ids(); an empty table gives an empty result; other columns are ignored."""
     path = new_folder(docs.sparkSession, "token-ids")
-    return read_token_ids(docs.sparkSession, path, write_token_ids(docs, path, id_col, text_col, tokenizer), id_col)
+    write_token_ids(docs, path, id_col, text_col, tokenizer)
+    return read_token_ids(docs.sparkSession, path, id_col)

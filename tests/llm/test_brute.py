@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from meterlens.llm import boosting, common, components, jaccard_join, line_dedup, mixing, packing, pii, quality_rules, range_coder, tokens, toxicity, warc
+from meterlens.llm import boosting, common, components, jaccard_join, line_dedup, mixing, packing, pii, quality_rules, range_coder, token_output, tokens, toxicity, warc
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -308,6 +308,24 @@ def test_coder_blocks_are_independent_and_checked():
     assert sum(len(b[2]) for b in blocks) < 1.4 * len(ids)  # two bytes each as they are
 
 
+def test_ids_equal_library(spark, docs, texts, tmp_path):
+    """start, n_tokens and crc of every document against the tokenizers library, from files that another application could read."""
+    library = tokens.Encoder("byte_bpe_50k.json").tokenizer
+    order = sorted(texts)
+    want, at = {}, 0
+    for i, x in zip(order, library.encode_batch([texts[i] or "" for i in order], add_special_tokens=False)):
+        ids = np.append(np.array(x.ids, "<u4"), np.uint32(2)).astype("<u4")
+        want[i] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    path = str(tmp_path / "ids")
+    manifest = token_output.write_token_ids(docs.repartition(3), path)
+    assert sum(r["ids"] for r in manifest) == at and sum(r["docs"] for r in manifest) == len(order)
+    got = token_output.read_token_ids(spark, path).collect()
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got} == want
+    with pytest.raises(ValueError):
+        token_output.write_token_ids(docs, path)
+
+
 def test_warc_reads_other_archives(spark, tmp_path):
     a = warc.record("response", "urn:page:1", "http://a", None, None, "sha256:00", None, 5, b"hello")
     b = warc.record("request", "urn:page:2", "http://b", None, None, None, None, 3, b"abc")
@@ -358,14 +376,25 @@ def test_toxicity_held_out(spark):
     assert auc > 0.9 and got.loc[got["predicted"] == 1, "toxic"].mean() > 0.95
 
 
-def test_label_model_shares_weight():
+def test_label_model():
+    """Accuracies and correlations come out, and a voter that is there many times counts about once."""
     rng = np.random.default_rng(1)
-    y = rng.random(2000) < 0.2
-    good = np.where(rng.random(2000) < 0.9, y, ~y).astype(int) * 2 - 1
-    other = np.where(rng.random(2000) < 0.8, y, ~y).astype(int) * 2 - 1
+    y = rng.random(6000) < 0.2
+    vote = lambda hit, false: np.where(y, rng.random(6000) < hit, rng.random(6000) < false).astype(int)
+    votes = np.stack([vote(0.8, 0.05), vote(0.6, 0.02), vote(0.7, 0.1)], 1)
+    start = np.where(rng.random(6000) < 0.02, ~y, y).astype(int)  # one label in fifty is wrong
     model = toxicity.LabelModel()
-    model.fit(np.stack([good, good, other], 1), y)
-    assert model.share[0] < model.share[2]
+    q = model.fit(votes, start)
+    assert np.abs(model.accuracy - [[0.05, 0.02, 0.1], [0.8, 0.6, 0.7]]).max() < 0.08
+    noisy = np.where(rng.random((6000, 4)) < 0.02, 1 - votes[:, [0]], votes[:, [0]])
+    more = toxicity.LabelModel()
+    many = more.fit(np.hstack([votes, noisy]), start)
+    assert np.abs(q - many).mean() < 0.06 and (more.shared[3:] > 0.1).all()
+    naive = toxicity.LabelModel()
+    naive.fit(np.hstack([votes, noisy]), start, 1)
+    naive.parent[:] = -1
+    naive.table = np.repeat(naive.accuracy[:, None], 2, 1)
+    assert np.abs(q - naive.posterior(np.hstack([votes, noisy]))).mean() > np.abs(q - many).mean()
 
 
 def test_shared_dir(spark):
