@@ -106,8 +106,9 @@ def count_from(a: Column, level: float) -> Column:
 
 def runs_from(a: Column, level: float) -> Column:
     """Lengths of the runs of values of at least ``level``."""
-    marks = F.array_join(F.transform(a, lambda x: F.when(x >= level, "1").otherwise("0")), "")
-    return F.transform(F.regexp_extract_all(marks, F.lit("1+"), 0), lambda s: F.length(s))
+    below = F.filter(F.transform(a, lambda x, i: F.when(x < level, i + 1)), lambda i: i.isNotNull())
+    ends = F.concat(F.array(F.lit(0)), below, F.array(F.size(a) + 1))  # places where no run is
+    return F.filter(F.zip_with(F.slice(ends, 2, F.size(ends) - 1), F.slice(ends, 1, F.size(ends) - 1), lambda x, y: x - y - 1), lambda n: n > 0)
 
 
 def steps(a: Column) -> Column:
@@ -122,6 +123,11 @@ def wilson(p: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)
 
 
+def mixed(key: str | Column, seed: int = 0) -> Column:
+    """A hash of the key and the seed as 32 hexadecimal digits, the same in any engine: md5 of seed|key."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), c(key).cast("string")).cast("binary"))
+
+
 def stable_uniform(key: str | Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone."""
-    return F.pmod(F.xxhash64(c(key), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return F.conv(F.substring(mixed(key, seed), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

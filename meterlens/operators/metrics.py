@@ -14,29 +14,53 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import mixed
+
 CANDIDATES = 200
+#: Stretches that a group's scores are ordered in.
+PARTS = 64
 
 
 def _labelled(df: DataFrame) -> DataFrame:
     return df.filter("y is not null and score is not null")
 
 
+def _in_parts(rows: DataFrame, by: list[str], value: str = "score") -> DataFrame:
+    """rows with __part, which rises with the value: a group's rows in PARTS stretches of about equal length, so that no task orders a whole group."""
+    at = F.array(*(F.lit((i + 1) / PARTS) for i in range(PARTS - 1)))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, at, F.lit(10_000)).alias("__cuts"))
+    return rows.join(cuts, by).withColumn("__part", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(value))), F.lit(0))).drop("__cuts")
+
+
+def _running(rows: DataFrame, by: list[str], order: list, sums: dict[str, str], down: bool = False) -> DataFrame:
+    """rows of _in_parts() with running sums (name: column) in their order: those within a part, and the totals of the parts before."""
+    step = -F.col("__part") if down else F.col("__part")
+    earlier = Window.partitionBy(*by).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*by, "__part").agg(*(F.sum(c).alias(f"__t_{n}") for n, c in sums.items()))
+    totals = totals.select(*by, "__part", *(F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__b_{n}") for n in sums))
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(totals, [*by, "__part"]).withColumns({n: F.col(f"__b_{n}") + F.sum(c).over(inside) for n, c in sums.items()})
+    return out.drop(*(f"__b_{n}" for n in sums))
+
+
+def _by_score(df: DataFrame, by: list[str]) -> DataFrame:
+    """Positives p and negatives n of each distinct score."""
+    return _labelled(df).groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
+
+
 def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     """Share of (positive, negative) pairs in order, ties half; null without both classes."""
-    w = Window.partitionBy(*by).orderBy("score")
-    ties = F.count("*").over(Window.partitionBy(*by, "score"))
-    ranked = _labelled(df).withColumn("r", F.rank().over(w) + (ties - 1) / 2.0)
-    p, n = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
-    auc = (F.sum(F.when(F.col("y") == 1, F.col("r"))) - p * (p + 1) / 2.0) / (p * n)
-    return ranked.groupBy(*by).agg(F.when((p > 0) & (n > 0), auc).alias("auc"), p.alias("n_pos"), n.alias("n_neg"))
+    rows = _running(_in_parts(_by_score(df, by), by), by, ["score"], {"upto": "n"})
+    p, n = F.sum("p"), F.sum("n")
+    pairs = F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2.0))
+    return rows.groupBy(*by).agg(F.when((p > 0) & (n > 0), pairs / (p * n)).alias("auc"), p.alias("n_pos"), n.alias("n_neg"))
 
 
 def average_precision(df: DataFrame, by: list[str], tie: str = "mp_id") -> DataFrame:
     """Mean of the precision at each positive, from the highest score down; equal scores by ``tie``."""
-    order = Window.partitionBy(*by).orderBy(F.desc("score"), tie)
-    seen = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = _labelled(df).withColumn("precision", F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).over(seen) / F.row_number().over(order))
-    return rows.groupBy(*by).agg(F.avg(F.when(F.col("y") == 1, F.col("precision"))).alias("ap"))
+    rows = _labelled(df).withColumns({"__one": F.lit(1), "__hit": F.when(F.col("y") == 1, 1).otherwise(0)})
+    rows = _running(_in_parts(rows, by), by, [F.desc("score"), tie], {"seen": "__one", "hits": "__hit"}, down=True)
+    return rows.groupBy(*by).agg(F.avg(F.when(F.col("y") == 1, F.col("hits") / F.col("seen"))).alias("ap"))
 
 
 def _flag(threshold: Column | str | float) -> Column:
@@ -55,42 +79,49 @@ def at_threshold(df: DataFrame, by: list[str], threshold: Column | str | float)
     return out.withColumn("f1", F.when(p + r > 0, 2 * p * r / (p + r))).withColumn("lift", F.when(F.col("flag_rate") > 0, r / F.col("flag_rate")))
 
 
-def threshold_for_share(df: DataFrame, by: list[str], prior: float) -> DataFrame:
-    """The score that a share ``prior`` of the unlabelled reaches."""
-    return df.filter("y is null and score is not null").groupBy(*by).agg(F.percentile("score", F.lit(1 - prior)).alias("threshold"))
+def threshold_for_share(df: DataFrame, by: list[str], prior: float | dict[str, float], default: float = 0.15) -> DataFrame:
+    """The score that a share ``prior`` of the unlabelled reaches; prior by asset: one for each, ``default`` for others."""
+    of = prior if isinstance(prior, dict) else {}
+    shares = sorted({default if isinstance(prior, dict) else prior, *of.values()})
+    cuts = df.filter("y is null and score is not null").groupBy(*by).agg(F.percentile("score", F.array(*(F.lit(1 - x) for x in shares))).alias("__cuts"))
+    place = F.lit(shares.index(default if isinstance(prior, dict) else prior))
+    for asset, share in of.items():
+        place = F.when(F.col("asset") == asset, shares.index(share)).otherwise(place)
+    return cuts.select(*by, F.get("__cuts", place).alias("threshold"))
 
 
 def best_threshold(df: DataFrame, by: list[str], objective: str = "youden") -> DataFrame:
     """The observed score (of over 200, their quantiles) with the largest objective, the lowest of equals; without negatives the positives' 20th percentile.
 
-    Counts above every candidate come from running sums over the sorted scores, not from pairs.
+    Scores are counted between neighbouring candidates, so that sums over CANDIDATES rows give what reaches each.
     """
-    rows = _labelled(df)
-    counts = rows.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("p"), F.count_if(F.col("y") == 0).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    counts = counts.select(*by, "score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"), F.count("*").over(whole).alias("k"))
+    rows, counts = _labelled(df), _by_score(df, by)
+    sizes = counts.groupBy(*by).agg(F.count("*").alias("k"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
+    few = counts.join(sizes.filter(f"k <= {CANDIDATES}").select(*by), by).groupBy(*by).agg(F.sort_array(F.collect_list("score")).alias("cuts"))
+    grid = F.array(*(F.lit(i / (CANDIDATES - 1)) for i in range(CANDIDATES)))
+    many = rows.join(sizes.filter(f"k > {CANDIDATES}").select(*by), by).groupBy(*by).agg(F.array_distinct(F.percentile("score", grid)).alias("cuts"))
+    cuts = few.unionByName(many)
+    reached = counts.join(cuts, by).groupBy(*by, F.size(F.filter("cuts", lambda c: c <= F.col("score"))).alias("upto")).agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    marks = cuts.select(*by, F.posexplode("cuts").alias("i", "t"))
+    at = marks.join(reached, by, "left").groupBy(*by, "i", "t").agg(*(F.sum(F.when(F.col("upto") > F.col("i"), F.col(x)).otherwise(0)).alias(y) for x, y in (("p", "tp"), ("n", "fp"))))
     tpr, fpr = F.col("tp") / F.col("pos"), F.col("fp") / F.col("neg")
     value = tpr - fpr if objective == "youden" else 2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("pos"))
-    few = counts.filter(f"k <= {CANDIDATES}").withColumn("t", F.col("score"))
-    # Quantiles lie between scores: what reaches one are the scores from the next observed one up.
-    grid = F.array(*(F.lit(i / (CANDIDATES - 1)) for i in range(CANDIDATES)))
-    cuts = rows.groupBy(*by).agg(F.percentile("score", grid).alias("q"), F.countDistinct("score").alias("kk")).filter(f"kk > {CANDIDATES}").select(*by, F.explode("q").alias("t"))
-    marks = counts.select(*by, "score", "tp", "fp", "pos", "neg", F.lit(1).alias("own")).unionByName(cuts.distinct().select(*by, F.col("t").alias("score"), F.lit(0).alias("own")), allowMissingColumns=True)
-    up = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("own")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = marks.select(*by, "own", F.col("score").alias("t"), *(F.last(x, True).over(up).alias(x) for x in ("tp", "fp", "pos", "neg"))).filter("own = 0")
-    filled = filled.withColumn("tp", F.coalesce("tp", F.lit(0))).withColumn("fp", F.coalesce("fp", F.lit(0)))
-    both = few.select(*by, "t", "tp", "fp", "pos", "neg").unionByName(filled.select(*by, "t", "tp", "fp", "pos", "neg"))
-    best = both.filter("pos > 0 and neg > 0").groupBy(*by).agg(F.max_by("t", F.struct(value, -F.col("t"))).alias("best"))
+    best = at.join(sizes, by).filter("pos > 0 and neg > 0").groupBy(*by).agg(F.max_by("t", F.struct(value, -F.col("t"))).alias("best"))
     pos_only = rows.groupBy(*by).agg(F.count_if(F.col("y") == 0).alias("neg"), F.percentile(F.when(F.col("y") == 1, F.col("score")), F.lit(0.2)).alias("low"))
     return pos_only.join(best, by, "left").select(*by, F.when(F.col("neg") == 0, F.col("low")).otherwise(F.col("best")).alias("threshold"))
 
 
 def grouped_folds(groups: DataFrame, key: str, k: int = 5, seed: int = 7) -> DataFrame:
-    """key, fold: whole groups dealt round k folds in an order that depends on key and seed alone."""
-    once = groups.select(key).distinct()
-    mixed = F.xxhash64(F.col(key).cast("string"), F.lit(seed))
-    return once.withColumn("fold", ((F.row_number().over(Window.orderBy(mixed, key)) - 1) % k).cast("long"))
+    """key, fold: whole groups dealt round k folds in the order of a hash of key and seed.
+
+    Places are counted within the hash's first three digits, and those (4096 at most) are added up.
+    """
+    once = groups.select(key).distinct().withColumn("__h", mixed(key, seed))
+    once = once.withColumn("__part", F.substring("__h", 1, 3))
+    sizes = once.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy("__h", key)) - 1 + F.col("__before")
+    return once.join(sizes.select("__part", before.alias("__before")), "__part").select(key, (place % k).cast("long").alias("fold"))
 
 
 # Bootstraps.
@@ -152,7 +183,6 @@ def percentile_in_pool(scores: DataFrame, pool: DataFrame, by: list[str]) -> Dat
     """scores (by, mp_id, score) with share: of the pool's scores, how many are lower. Running counts over both, no pairs."""
     both = pool.filter("score is not null").select(*by, "score", F.lit(1).alias("w"), F.lit(None).cast(scores.schema["mp_id"].dataType).alias("mp_id"), F.lit(1).alias("side"))
     both = both.unionByName(scores.select(*by, "score", F.lit(0).alias("w"), "mp_id", F.lit(0).alias("side")))
-    lower = Window.partitionBy(*by).orderBy("score", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy(*by)
-    out = both.select(*by, "mp_id", "score", "side", F.sum("w").over(lower).alias("below"), F.sum("w").over(total).alias("pool"))
-    return out.filter("side = 0").select(*by, "mp_id", "score", F.when(F.col("score").isNotNull() & (F.col("pool") > 0), F.col("below") / F.col("pool")).alias("share"), "pool")
+    total = both.groupBy(*by).agg(F.sum("w").alias("pool"))
+    out = _running(_in_parts(both, by), by, ["score", "side"], {"below": "w"}).filter("side = 0").join(total, by)
+    return out.select(*by, "mp_id", "score", F.when(F.col("score").isNotNull() & (F.col("pool") > 0), F.col("below") / F.col("pool")).alias("share"), "pool")

@@ -11,11 +11,15 @@ def shape(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("mp_id").alias("meters"), F.min("d").alias("first_day"), F.max("d").alias("last_day"), F.countDistinct("d").alias("days"), mwh("import_kwh").alias("import_mwh"), mwh("export_kwh").alias("export_mwh"))
 
 
+# The coverage buckets, and the share of the days from which each holds.
+BUCKETS = (("a. complete (>=95%)", 0.95), ("b. partial (50-95%)", 0.50), ("c. sparse (<50%)", 0.0))
+
+
 def coverage_buckets(rows: DataFrame) -> DataFrame:
+    """Meters by the share of all days on which they have readings."""
     meter = rows.groupBy("mp_id").agg(F.countDistinct("d").alias("days"))
     span = rows.agg(F.countDistinct("d").alias("total"))  # one row
-    days, total = F.col("days"), F.col("total")
-    bucket = F.when(days >= 0.95 * total, "a. complete (>=95%)").when(days >= 0.50 * total, "b. partial (50-95%)").otherwise("c. sparse (<50%)")
+    bucket = F.coalesce(*(F.when(F.col("days") >= least * F.col("total"), name) for name, least in BUCKETS))
     return meter.crossJoin(F.broadcast(span)).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("meters"), F.round(F.avg("days")).alias("avg_days"))
 
 
@@ -50,6 +54,11 @@ def catalogue(rows: DataFrame) -> DataFrame:
     return rows.groupBy("mp_id").agg(F.countDistinct("d").alias("days"), F.min("d").alias("d0"), F.max("d").alias("d1"))
 
 
+def browse_list(rows: DataFrame, n: int = 400) -> DataFrame:
+    """The n meters with the most days, to choose from."""
+    return catalogue(rows).orderBy(F.desc("days"), "mp_id").limit(n)
+
+
 def heatmap(rows: DataFrame) -> DataFrame:
     """Mean net kWh by time of day and day, in long form."""
     net = F.coalesce("import_kwh", F.lit(0.0)) - F.coalesce("export_kwh", F.lit(0.0))

@@ -37,12 +37,17 @@ def report(rows: DataFrame) -> DataFrame:
 
 
 def asset_counts(rows: DataFrame, assets: tuple[str, ...] = ASSETS) -> DataFrame:
-    """Per asset: meters flagged, live at some time, with a time before that, flagged not to have it. One pass, then stacked."""
-    meter = F.col("mp_id")
-    made = []
+    """Per asset: meters flagged, live at some time, with a time before that, flagged not to have it. What holds of a meter at some time first, then one sum."""
+    made = {}
     for a in assets:
         has, live = F.col(f"has_{a}"), F.col(f"{a}_live")
-        for name, when in (("flagged", has), ("live_somewhere", live), ("has_pre_period", has & ~live), ("flagged_negative", ~has)):
-            made.append(F.countDistinct(F.when(when, meter)).alias(f"{a}__{name}"))
+        made |= {f"{a}__flagged": has, f"{a}__live_somewhere": live, f"{a}__has_pre_period": has & ~live, f"{a}__flagged_negative": ~has}
+    meters = rows.groupBy("mp_id").agg(*(F.bool_or(when).alias(n) for n, when in made.items()))
     parts = ", ".join(f"'{a}', {a}__flagged, {a}__live_somewhere, {a}__has_pre_period, {a}__flagged_negative" for a in assets)
-    return rows.agg(*made).selectExpr(f"stack({len(assets)}, {parts}) as (asset, flagged, live_somewhere, has_pre_period, flagged_negative)")
+    return meters.agg(*(F.count_if(n).alias(n) for n in made)).selectExpr(f"stack({len(assets)}, {parts}) as (asset, flagged, live_somewhere, has_pre_period, flagged_negative)")
+
+
+def composition(rows: DataFrame, assets: tuple[str, ...] = ("pv", "battery", "hp")) -> DataFrame:
+    """What the evaluated meters are made of: their number and the share with each asset, in whole percent. To be read before any metric."""
+    meters = rows.select("mp_id", *(f"has_{a}" for a in assets)).distinct()
+    return meters.agg(F.count("*").alias("meters"), *(F.round(100.0 * F.count_if(f"has_{a}") / F.count("*"), 0).alias(f"pct_{a}") for a in assets))

@@ -150,7 +150,7 @@ def _slope_parts() -> dict[str, Column]:
     kwh, t = F.col("hp_temp_slope__kwh"), F.col("hp_temp_slope__t")
     both = kwh.isNotNull() & t.isNotNull()
     hdd, y = F.when(both, F.greatest(15 - t, F.lit(0.0))), F.when(both, kwh)
-    return {"n": _n(both), "sd": F.stddev_pop(hdd), "slope": F.regr_slope(y, hdd), "base": F.regr_intercept(y, hdd), "corr": F.corr(y, hdd), "mean": F.avg(y)}
+    return {"n": _n(both), "sd": F.stddev_pop(hdd), "slope": F.regr_slope(y, hdd), "base": F.regr_intercept(y, hdd), "corr": ratio(F.covar_pop(y, hdd), F.stddev_pop(F.when(both, y)) * F.stddev_pop(hdd)), "mean": F.avg(y)}
 
 
 RULES = [

@@ -5,15 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import wilson
+from ..functions.columns import mixed, wilson
 from ..operators.metrics import percentile_in_pool
+from ..operators.reports import header_facts
+from ..operators.slots import localized, of_meters, side_by_side, to_long
 from ..schema import CONFIDENCE, EXPECTED_SHARE, PV_YEARLY_FOR_BATTERY, VERDICTS
+from .detectors import RULES, scores
 
 
 def sample_meters(readings: DataFrame, n: int, min_days: int = 365, seed: int = 11) -> DataFrame:
     """n meters with enough days, the same ones on every run."""
     days = readings.groupBy("mp_id").agg(F.countDistinct("d").alias("days")).filter(F.col("days") >= min_days)
-    return days.orderBy(F.xxhash64(F.col("mp_id").cast("string"), F.lit(seed)), "mp_id").limit(n)
+    return days.orderBy(mixed("mp_id", seed), "mp_id").limit(n)
+
+
+def fleet_frame(raw: DataFrame, source: str = "Etc/GMT-1") -> DataFrame:
+    """The wide raw layer (mp_id, obis, d, slots) as the frame that detectors take, in local time."""
+    return localized(side_by_side(to_long(raw.select("mp_id", "obis", "d", "slots")), ["mp_id", "ts", "d", "slot_idx"]), source)
+
+
+def fleet_scores(raw: DataFrame, detectors: list[str] | None = None, n: int = 2000, min_days: int = 365, seed: int = 11, source: str = "Etc/GMT-1") -> DataFrame:
+    """Scores of a sample of the fleet, from raw readings: mp_id, detector, asset, score. detectors: those with a threshold; None: all rules.
+
+    The meters are chosen before slots are exploded; readings go to local time as
+    everywhere else. Rules that need temperatures are left out, as raw readings have none.
+    """
+    picked = of_meters(raw, sample_meters(raw, n, min_days, seed))
+    chosen = [d for d in RULES if d.name != "hp_temp_slope" and (detectors is None or d.name in detectors)]
+    blocks = detectors is None or "ev_sustained_blocks" in detectors
+    return scores(fleet_frame(picked, source), chosen, blocks=blocks).select("mp_id", "detector", "asset", "score")
 
 
 def prevalence(scores: DataFrame, thresholds: DataFrame, circular: tuple[str, ...] = (), expected: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -45,6 +65,18 @@ def explained(scores: DataFrame, thresholds: DataFrame, pool: DataFrame, least_p
     return out.select("mp_id", "asset", "detector", "score", "threshold", verdict.alias("verdict"), F.when(F.col("pool") > least_pool, F.col("share")).alias("pool_share"), word.alias("confidence"))
 
 
+def meter_report(frame: DataFrame, scores: DataFrame, thresholds: DataFrame, pool: DataFrame, least_pool: int = 20) -> DataFrame:
+    """A row per meter and detector: how complete the readings are, energy (by the year from 180 days on), peak, and explained().
+
+    A detector that does worse than chance is marked as one to ignore, whatever its asset's confidence.
+    """
+    facts = header_facts(frame).withColumn("complete_pct", F.round(100.0 * F.col("days") / F.col("span_days"), 1))
+    worse = [d.name for d in RULES if d.anti_predictive]
+    told = explained(scores, thresholds, pool, least_pool)
+    told = told.withColumn("confidence", F.when(F.col("detector").isin(*worse), "ignore: worse than chance").otherwise(F.col("confidence")))
+    return facts.join(told, "mp_id")
+
+
 def years_of(frame: DataFrame) -> DataFrame:
     """mp_id, years, export_a (kWh a year)."""
     years = F.greatest((F.datediff(F.max("d"), F.min("d")) + 1) / 365.25, F.lit(1e-6))

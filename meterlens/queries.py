@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,8 @@ from .functions import columns as fx
 from .operators import blocks, labels, metrics, register, reports, slots, survey, training
 from .operators import features as feats
 from .plans import detectors, evaluate, fleet, learned, shapes
-from .schema import ASSETS
-from .sources import roles
+from .schema import ASSETS, PRIORS
+from .sources import files, load_csv, raw_store, roles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +92,87 @@ def batch_readings(s, d):
     return roles.events(s, d).filter(F.col("mp_id").isin(3, 5, 7, 11, 13)).filter("kwh is not null").select("event_id", "mp_id", "kwh")
 
 
+# Load files: the wide readings written as delivered, and taken in again.
+
+
+def _slot_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("v", F.array_join(F.transform("slots", lambda x: F.round(x * 100).cast("long").cast("string")), ",", "-")).drop("slots")
+
+
+@query
+def ingest_kinds(s, d):
+    found = load_csv.classify(s, roles.mixed_folder(s))
+    return s.createDataFrame([(k, path.rpartition("/")[2]) for k, paths in found.items() for path in paths], "kind string, file string")
+
+
+@query
+def ingest_layout(s, d):
+    lay = load_csv.layout_of(s, roles.load_file(s, d))
+    return s.createDataFrame([(",".join(lay.meta), lay.n_slots, lay.n_fields, lay.trailing, ",".join(map(str, lay.widths)))], "meta string, n_slots long, n_fields long, trailing boolean, widths string")
+
+
+@query
+def ingest_rows(s, d):
+    return longs(_slot_text(load_csv.read_load(s, roles.load_file(s, d))))
+
+
+@query
+def ingest_gate(s, d):
+    """Rows whose date cannot be read, which forbid a conversion."""
+    rows = load_csv.read_load(s, roles.load_file(s, d))
+    rows = rows.withColumn("datum", F.when((F.col("mp_id") % 29 == 1) & F.col("datum").isNotNull(), "31.02.2024").otherwise(F.col("datum"))).withColumn("d", fx.german_date("datum"))
+    return s.createDataFrame([(raw_store.unreadable_dates(rows),)], "n_bad long")
+
+
+@query
+def ingest_profile(s, d):
+    return longs(raw_store.profile_files(s, [roles.load_file(s, d)], files.scratch(s, "profile")).drop("path"))
+
+
+def _converted(s, d):
+    """Converted, left alone the second time, and converted again by force: the rows are there once."""
+    path, out = roles.load_file(s, d), files.scratch(s, "converted")
+    for force in (False, False, True):
+        raw_store.convert(s, [path], out, force)
+    return raw_store.read_raw(s, out)
+
+
+@query
+def ingest_convert(s, d):
+    return longs(_slot_text(_converted(s, d))).withColumn("ym", F.col("ym").cast("string"))
+
+
+@query
+def ingest_readings(s, d):
+    name = f"readings_{uuid.uuid4().hex}"
+    raw_store.readings_view(_converted(s, d), name)
+    return s.sql(f"SELECT mp_id, obis, d, slot_idx, ts, kwh FROM {name}")
+
+
+@query
+def ingest_small(s, d):
+    """A delivered table with drifted headers, by logical names; one of them is not there."""
+    t = load_csv.read_small(s, roles.drifted(s, d))
+    found = load_csv.resolved(t.columns, {"gp": ["GP-Nr"], "pv": ["PV"], "kwp": ["Leistung"], "hp": ["Wärmepumpe"], "ev": ["EV"]})
+    return t.select(*((t[f"`{c}`"] if c else F.lit(None).cast("string")).alias(k) for k, c in found.items()))
+
+
+@query
+def sink_files(s, d):
+    """Totals written as CSV and as Parquet, and read again."""
+    rows, folder, out = meter_totals(s, d).select("mp_id", "imp_kwh", "exp_kwh", "days"), files.scratch(s, "sink"), None
+    for form in ("csv", "parquet"):
+        raw_store.write_table(rows, f"{folder}/{form}", form)
+        back = s.read.schema(rows.schema).option("header", True).format(form).load(f"{folder}/{form}").withColumn("form", F.lit(form))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query
+def ordered_rows(s, d):
+    return training.ordered(_training(s, d)).select("mp_id", "ts")
+
+
 # Day features.
 
 
@@ -284,7 +366,7 @@ def eligible_meters(s, d):
 def weather_join(s, d):
     e = roles.source(s, d, "events")
     w = e.select(F.col("ts").cast("string").alias("timestamp_utc"), F.when(F.col("event_id") % 10 == 0, "-").otherwise((F.col("value") / 10).cast("string")).alias("tre200h0")).filter("event_type <> 'view'")
-    rows = e.select("event_id", "ts").filter("event_id % 3 = 0")
+    rows = e.select("event_id", "ts")
     return r6(survey.with_temperature(rows, survey.hourly_temperature(w)))
 
 
@@ -356,6 +438,30 @@ def window_trace(s, d):
     return r6(reports.window_trace(roles.frame(s, d), "2024-01-05", "2024-01-07").select("mp_id", "ts", "import_kwh", "export_kwh"))
 
 
+@query
+def browse_list(s, d):
+    return reports.browse_list(roles.frame(s, d))
+
+
+@query
+def register_composition(s, d):
+    return training.composition(_training(s, d))
+
+
+@query
+def label_meters(s, d):
+    summary = labels.meter_summary(_training(s, d), 1, False)
+    return evaluate.all_meters(*(labels.label_tiers(summary, a) for a in ("pv", "hp", "ev", "battery")))
+
+
+@query
+def auto_strata(s, d):
+    """Labels of heat pumps, by battery too, as a night-based detector takes part."""
+    own = labels.label_tiers(labels.meter_summary(_training(s, d), 1, False), "hp").withColumn("asset", F.lit("hp"))
+    out = evaluate.ownership_strata(own, register.meter_table(roles.labels(s, d)), ["pv_midday_dip", "hp_winter_ratio"], least_positive=1)
+    return out.groupBy("stratum").agg(F.count("*").alias("n"), F.count_if(F.col("y") == 1).alias("pos"))
+
+
 # Detectors.
 
 
@@ -392,7 +498,7 @@ def ev_blocks(s, d):
 
 @query
 def random_score(s, d):
-    return roles.frame(s, d).select("mp_id").distinct().select("mp_id", fx.stable_uniform(F.col("mp_id").cast("string")).alias("score"))
+    return r6(roles.frame(s, d).select("mp_id").distinct().select("mp_id", fx.stable_uniform("mp_id").alias("score")))
 
 
 @query
@@ -452,6 +558,15 @@ def prevalence_threshold(s, d):
     return r6(metrics.threshold_for_share(roles.scored_labels(s, d), BY, 0.15))
 
 
+@query
+def prior_thresholds(s, d):
+    rows = roles.scored_labels(s, d)
+    every = rows
+    for a in ("hp", "ev", "boiler"):
+        every = every.unionByName(rows.withColumn("asset", F.lit(a)))
+    return r6(metrics.threshold_for_share(every, BY, PRIORS))
+
+
 @query
 def grouped_folds(s, d):
     return metrics.grouped_folds(roles.scored_labels(s, d), "gp")
@@ -535,8 +650,7 @@ def score_topup(s, d):
 @query
 def percentile_rank(s, d):
     rows = roles.scored_labels(s, d)
-    own, pool = rows.filter("mp_id % 10 = 0").select("asset", "detector", "mp_id", "score"), rows.filter("mp_id % 10 <> 0")
-    return r6(metrics.percentile_in_pool(own, pool, ["asset", "detector"]))
+    return r6(metrics.percentile_in_pool(rows.select("asset", "detector", "mp_id", "score"), rows, ["asset", "detector"]))
 
 
 # Fleet, reports for one, verdicts.
@@ -556,6 +670,22 @@ def fleet_sample(s, d):
     return fleet.sample_meters(roles.frame(s, d), 25, 20)
 
 
+@query
+def fleet_scores(s, d):
+    """Scores of sampled meters from the wide readings, in local time."""
+    names = [r.name for r in detectors.RULES]
+    return r6(fleet.fleet_scores(roles.wide(s, d), names, 40, 5))
+
+
+@query
+def meter_report(s, d):
+    """Completeness, energy and every detector's verdict for each meter."""
+    f = files.written(roles.season(s, d), "season")
+    own = files.written(r6(detectors.scores(f, blocks=False).select("mp_id", "detector", "asset", "score")), "scores")
+    limits = s.createDataFrame([("pv", "pv_export_total", 1000.0), ("ev", "ev_peak_band", 0.5), ("battery", "battery_dark_zero", 0.35)], "asset string, detector string, threshold double")
+    return r6(fleet.meter_report(f, own, limits, own))
+
+
 @query
 def resolve_partner(s, d):
     z, m = roles.points(s, d)
@@ -565,8 +695,7 @@ def resolve_partner(s, d):
 @query
 def explain_meter(s, d):
     rows = roles.scored_labels(s, d)
-    own, pool = rows.filter("mp_id < 20").select("asset", "detector", "mp_id", "score"), rows.filter("mp_id >= 20")
-    return r6(fleet.explained(own, _limits(s), pool))
+    return r6(fleet.explained(rows.select("asset", "detector", "mp_id", "score"), _limits(s), rows))
 
 
 def _verdicts(s, d):

@@ -1,8 +1,8 @@
 """Load files and small tables as delivered: what they are, how they are laid out, and reading them.
 
 A load file's header may leave out a column and its rows may be of different widths, so
-the layout comes from the rows: all lines are looked at, in Spark, for their width and
-for which field holds a date; the columns are named by what most rows hold.
+the layout comes from the rows: all lines are looked at, in one Spark job, for their width
+and for which field holds a date; most rows decide on both.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import german_date, year_month
 from ..schema import MAX_SLOTS
+from .files import first_line
 
 BOM = "﻿"
 CLOCK = re.compile(r"\d{1,2}:\d{2}")
@@ -41,12 +42,11 @@ def kind_of(header: str) -> str:
 
 
 def classify(spark: SparkSession, folder: str) -> dict[str, list[str]]:
-    """The CSV files below a folder by kind, in order of their paths. Of each file one line is read."""
+    """The CSV files below a folder by kind, in order of their paths. Of each file one line is read, by the driver."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").format("binaryFile").load(folder).select("path")
     out: dict[str, list[str]] = {k: [] for k in KINDS}
     for path in sorted(r["path"] for r in files.collect()):
-        head = spark.read.text(path).limit(1).collect()
-        out[kind_of(head[0]["value"] if head else "")].append(path)
+        out[kind_of(first_line(spark, path) or "")].append(path)
     return out
 
 
@@ -54,38 +54,42 @@ def classify(spark: SparkSession, folder: str) -> dict[str, list[str]]:
 class Layout:
     meta: list[str]
     n_slots: int
-    n_fields: int
+    n_fields: int  # as most rows have
     trailing: bool
-    widths: list[int]
+    widths: list[int]  # all that occur
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).withColumn("value", F.regexp_replace("value", f"^{BOM}|\r$", ""))
 
 
+def _header(spark: SparkSession, path: str) -> str:
+    return (first_line(spark, path) or "").replace(BOM, "").rstrip("\r")
+
+
 def layout_of(spark: SparkSession, path: str) -> Layout:
     """The layout of a load file; ValueError where it has none that makes sense."""
-    header = spark.read.text(path).limit(1).collect()
+    header = _header(spark, path)
     if not header:
         raise ValueError(f"{path}: empty file")
-    names = header[0]["value"].replace(BOM, "").rstrip("\r").split(";")
+    names = header.split(";")
     trailing = names[-1] == ""
     clocks = [i for i, x in enumerate(names) if CLOCK.fullmatch(x.strip())]
     meta = [plain(x) for x in names[: clocks[0]]] if clocks else []
     if "datum" not in meta:
         raise ValueError(f"{path}: no Datum column before HH:MM columns in {names[:8]}")
     after = meta[meta.index("datum") + 1 :]
-    rows = _lines(spark, path).filter(F.col("value") != header[0]["value"].replace(BOM, "").rstrip("\r")).filter(F.trim("value") != "").select(F.split("value", ";").alias("f"))
+    rows = _lines(spark, path).filter(F.col("value") != header).filter(F.trim("value") != "").select(F.split("value", ";").alias("f"))
     fits = lambda pattern: lambda x: F.trim(x).rlike(pattern)
     looks = {k: F.array_position(F.transform(F.slice("f", 1, 12), fits(p)), True) for k, p in PATTERNS.items()}
     seen = rows.select(F.size("f").alias("width"), *(v.cast("int").alias(k) for k, v in looks.items()))
-    facts = seen.agg(F.collect_set("width").alias("widths"), *(F.mode(F.when(F.col(k) > 0, F.col(k))).alias(k) for k in PATTERNS)).first()
+    facts = seen.agg(F.collect_set("width").alias("widths"), F.mode("width", deterministic=True).alias("usual"), *(F.mode(F.when(F.col(k) > 0, F.col(k))).alias(k) for k in PATTERNS)).first()
     if not facts["widths"]:
         raise ValueError(f"{path}: no data rows")
     if not facts["datum"]:
         raise ValueError(f"{path}: no field that looks like a date")
     n_meta = facts["datum"] + len(after)
-    fields = max(facts["widths"])
+    fields = facts["usual"]  # a stray separator in some row does not shift the others
     slots = fields - n_meta - trailing
     if not LEAST_SLOTS <= slots <= MAX_SLOTS:
         raise ValueError(f"{path}: {slots} slots in {fields} fields with {n_meta} before them is not a day")
@@ -105,7 +109,7 @@ def layout_of(spark: SparkSession, path: str) -> Layout:
 def read_load(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
     """mp_id, zp, obis, plz, datum (text), d, ym, n_slots, slots of a load file. Short rows end in nulls; a value that is no number fails the read."""
     lay = layout or layout_of(spark, path)
-    header = spark.read.text(path).limit(1).collect()[0]["value"].replace(BOM, "").rstrip("\r")
+    header = _header(spark, path)
     rows = _lines(spark, path).filter((F.col("value") != header) & (F.trim("value") != "")).select(F.split("value", ";").alias("f"))
     at = lambda i: F.nullif(F.trim(F.try_element_at("f", F.lit(i + 1))), F.lit(""))
     meta = {name: at(i) for i, name in enumerate(lay.meta)}

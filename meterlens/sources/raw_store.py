@@ -1,59 +1,75 @@
-"""The wide raw layer: Parquet by month, a manifest of converted files, views, and reports as JSON."""
+"""The wide raw layer: Parquet by file and month, a manifest of converted files, views, and reports as JSON."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.slots import padded, to_long
+from .files import exists, moved, removed, stamp
 from .load_csv import Layout, layout_of, profile, read_load
 
 MAX_DIRECTIONS = 10
+UNREADABLE = "unreadable"
+
+
+def _bad_date():
+    return F.col("datum").isNotNull() & F.col("d").isNull()
 
 
 def unreadable_dates(rows: DataFrame) -> int:
-    return rows.filter(F.col("datum").isNotNull() & F.col("d").isNull()).count()
+    return rows.filter(_bad_date()).count()
 
 
-def converted(rows: DataFrame) -> DataFrame:
-    """Rows of a load that can be stored; ValueError where a date cannot be read, as a shifted layout shows up so."""
-    bad = unreadable_dates(rows)
+def _refused(bad: int) -> None:
     if bad:
         raise ValueError(f"{bad} rows have a date that cannot be read; the layout is likely wrong")
-    keep = rows.filter("mp_id is not null and d is not null")
-    return keep.select("mp_id", "zp", "obis", "plz", "d", "n_slots", padded(F.col("slots")).alias("slots"), "ym")
 
 
-def _stamp(spark: SparkSession, path: str) -> str:
-    """Path, length and time of change of a file."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    status = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where)
-    return f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}"
+def _stored(rows: DataFrame) -> DataFrame:
+    return rows.select("mp_id", "zp", "obis", "plz", "d", "n_slots", padded(F.col("slots")).alias("slots"), "ym")
+
+
+def converted(rows: DataFrame) -> DataFrame:
+    """Rows of a load that can be stored; ValueError where a date cannot be read, as a shifted layout shows up so."""
+    _refused(unreadable_dates(rows))
+    return _stored(rows.filter("mp_id is not null and d is not null"))
 
 
 def convert(spark: SparkSession, paths: list[str], out: str, force: bool = False) -> list[str]:
-    """Adds load files to out/raw (by ym, zstd) and returns those that were new. A file counts as done while its path, length and time stay."""
-    try:
-        done = {r["stamp"] for r in spark.read.json(f"{out}/_converted").select("stamp").collect()}
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = set()
+    """Puts load files into out/raw (by file and ym, zstd) and returns those that were converted. A file counts as done while its path, length and time stay.
+
+    A file's rows are a folder of their own that is written aside and then put in the
+    old one's place: converting it again, or after a crash, replaces and never adds.
+    Rows are looked at and written in one pass: those whose date cannot be read go to a
+    month of their own, and if there are any the file is refused and what was there stays.
+    """
+    done = {r["stamp"] for r in spark.read.json(f"{out}/_converted").select("stamp").collect()} if exists(spark, f"{out}/_converted") else set()
     new = []
     for path in paths:
-        stamp = _stamp(spark, path)
-        if stamp in done and not force:
+        mark = stamp(spark, path)
+        if mark in done and not force:
             continue
-        rows = converted(read_load(spark, path))
-        rows.repartition("ym").sortWithinPartitions("mp_id", "d").write.mode("append").partitionBy("ym").option("compression", "zstd").parquet(f"{out}/raw")
-        spark.createDataFrame([(stamp,)], "stamp string").coalesce(1).write.mode("append").json(f"{out}/_converted")
+        own = f"f{hashlib.md5(mark.split('|')[0].encode()).hexdigest()}"
+        aside = f"{out}/raw/_aside-{own}"
+        rows = read_load(spark, path).filter((F.col("mp_id").isNotNull() & F.col("d").isNotNull()) | _bad_date())
+        rows = _stored(rows.withColumn("ym", F.when(_bad_date(), UNREADABLE).otherwise(F.col("ym"))))
+        # Dealt by meter, so that a month is not one task's.
+        rows.repartition("mp_id").sortWithinPartitions("ym", "mp_id", "d").write.mode("overwrite").partitionBy("ym").option("compression", "zstd").parquet(aside)
+        if exists(spark, f"{aside}/ym={UNREADABLE}"):
+            bad = spark.read.parquet(f"{aside}/ym={UNREADABLE}").count()
+            removed(spark, aside)
+            _refused(bad)
+        moved(spark, aside, f"{out}/raw/src={own}")
+        spark.createDataFrame([(mark,)], "stamp string").coalesce(1).write.mode("append").json(f"{out}/_converted")
         new.append(path)
     return new
 
 
 def read_raw(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.parquet(f"{out}/raw")
+    return spark.read.parquet(f"{out}/raw").drop("src")
 
 
 def readings_view(raw: DataFrame, name: str = "readings") -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.columns import is_dst_day
 from ..operators.features import day_features
 from ..operators.slots import deduplicated, side_by_side, to_long, to_wide
 from ..schema import EXPORT, IMPORT
+from .files import moved, put, scratch
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +46,11 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def season(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Years of readings of four meters, as a detector takes them, with a made-up temperature by hour."""
+    """Years of readings of four meters, and few of a hundred others, as a detector takes them, with a made-up temperature by hour."""
     t = source(spark, sf_dir, "lineitem")
     ts = F.timestamp_add("MINUTE", (15 * (F.col("l_orderkey") % 96)).cast("int"), F.col("l_shipdate").cast("timestamp_ntz"))
     out_ = F.col("l_returnflag") == "R"
-    rows = t.select((F.col("l_suppkey") % 4).alias("mp_id"), ts.alias("ts"), (F.col("l_quantity") / 16).alias("kwh"), out_.alias("out"))
+    rows = t.select(F.when(F.col("l_orderkey") % 5 == 0, 100 + F.col("l_partkey") % 97).otherwise(F.col("l_suppkey") % 4).alias("mp_id"), ts.alias("ts"), (F.col("l_quantity") / 16).alias("kwh"), out_.alias("out"))
     rows = rows.groupBy("mp_id", "ts").agg(F.sum(F.when(~F.col("out"), F.col("kwh"))).alias("import_kwh"), F.sum(F.when(F.col("out"), F.col("kwh"))).alias("export_kwh"))
     rows = rows.withColumn("d", F.to_date("ts")).withColumn("hour", F.hour("ts"))
     return rows.withColumn("dst_day", is_dst_day("d")).withColumn("temp_c", F.round(10 - 10 * F.cos(2 * F.pi() * F.dayofyear("d") / 365), 2))
@@ -103,15 +104,53 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+DENSE_DAYS = 14
+
+
 def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sixty days of made-up readings of the first customers: a timer (even keys) or sessions at odd times, one day missing."""
-    k = source(spark, sf_dir, "customer").filter("c_custkey <= 8").select(F.col("c_custkey").alias("mp_id"))
-    rows = k.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(59)))).withColumn("sl", F.explode(F.sequence(F.lit(0), F.lit(95))))
+    """Two weeks of made-up readings of all customers: a timer (even keys) or sessions at odd times, one day missing."""
+    k = source(spark, sf_dir, "customer").select(F.col("c_custkey").alias("mp_id"))
+    rows = k.withColumn("dy", F.explode(F.sequence(F.lit(0), F.lit(DENSE_DAYS - 1)))).withColumn("sl", F.explode(F.sequence(F.lit(0), F.lit(95))))
     start = lambda day: (F.col("mp_id") * 37 + day * 53) % 96
     at, before = F.col("sl") - start(F.col("dy")), F.col("sl") + 96 - start(F.col("dy") - 1)
     session = at.between(0, 7) | ((F.col("dy") > 0) & before.between(0, 7))
     timer = F.col("sl").between(8, 15)
     v = F.when(F.col("mp_id") % 2 == 0, F.when(timer, 1.0).otherwise(0.05)).otherwise(F.when(session, 1.8).otherwise(0.05))
     ts = F.timestamp_add("MINUTE", (F.col("dy") * 1440 + F.col("sl") * 15).cast("int"), F.lit("2024-05-01").cast("timestamp_ntz"))
-    rows = rows.filter(F.col("dy") != (F.col("mp_id") * 7) % 60).select("mp_id", ts.alias("ts"), v.alias("import_kwh"))
+    rows = rows.filter(F.col("dy") != (F.col("mp_id") * 7) % DENSE_DAYS).select("mp_id", ts.alias("ts"), v.alias("import_kwh"))
     return rows.withColumn("d", F.to_date("ts")).withColumn("dst_day", F.lit(False))
+
+
+HEADER = ";".join(["\ufeffMP ID", "Zählpunktbezeichnung", "OBIS-Code", "Datum", "PLZ", *(f"{i // 4:02d}:{i % 4 * 15:02d}" for i in [*range(1, 96), 0]), ""])
+
+
+def load_file(spark: SparkSession, sf_dir: str) -> str:
+    """The wide readings as a load file as delivered; some rows lack a date or a meter, some end after 50 slots. Returns its path."""
+    w = wide(spark, sf_dir)
+    values = F.transform(F.slice("slots", 1, 96), lambda x: F.coalesce(x.cast("string"), F.lit("")))
+    values = F.when(F.dayofmonth("d") % 7 == 3, F.array_join(F.slice(values, 1, 50), ";")).otherwise(F.concat(F.array_join(values, ";"), F.lit(";")))
+    meter = F.col("mp_id").cast("string")
+    fields = [F.when(F.col("mp_id") % 23 != 0, meter).otherwise(""), F.concat(F.lit("CH"), F.lpad(meter, 12, "0")), "obis", F.when(F.col("mp_id") % 19 != 0, F.date_format("d", "dd.MM.yyyy")).otherwise(""), F.lit(" 5000 "), values]
+    lines = w.select(F.lit(1).alias("o"), F.concat_ws(";", *fields).alias("value"))
+    head = spark.createDataFrame([(0, HEADER)], "o int, value string")
+    folder = scratch(spark, "load")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{folder}/parts")
+    part = spark.read.format("binaryFile").load(f"{folder}/parts").select("path").first()["path"]
+    moved(spark, part, f"{folder}/load.csv")
+    return f"{folder}/load.csv"
+
+
+def mixed_folder(spark: SparkSession) -> str:
+    """A folder with one small file of each kind, one of them below."""
+    folder = scratch(spark, "mixed")
+    for name, head in (("a.csv", HEADER), ("sub/b.csv", "MP ID;Zählpunktbezeichnung;Ort"), ("c.csv", "Zählpunkt;GPartner"), ("d.csv", "GP-Nr; PV;EV"), ("e.csv", "something;else"), ("f.txt", "GP-Nr")):
+        put(spark, f"{folder}/{name}", head + "\r\n1;2;3\r\n")
+    return folder
+
+
+def drifted(spark: SparkSession, sf_dir: str) -> str:
+    """Customers as a small delivered table whose headers have drifted. Returns its folder."""
+    c = source(spark, sf_dir, "customer")
+    folder = scratch(spark, "drifted")
+    c.select(F.col("c_custkey").cast("string").alias("\ufeffGP-Nr."), F.col("c_mktsegment").alias(" PV "), F.col("c_nationkey").cast("string").alias("PV-Leistung in kWp "), F.col("c_name").alias("Wärmepumpe")).write.option("header", True).option("sep", ";").csv(folder)
+    return folder

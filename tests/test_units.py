@@ -101,6 +101,29 @@ def test_block_after_gap_and_few(spark):
     assert blocks.ev_sustained_blocks(df).first().score == 0.0
 
 
+def test_slope_of_constant_days(spark):
+    """Days that all use the same: a slope of zero and no correlation, no error."""
+    rows = [(1, dt.datetime(2024, 1, 1) + dt.timedelta(days=i), 1.0, None, float(i % 20)) for i in range(200)]
+    df = spark.createDataFrame(rows, "mp_id long, ts timestamp_ntz, import_kwh double, export_kwh double, temp_c double")
+    df = df.withColumn("d", F.to_date("ts")).withColumn("hour", F.hour("ts")).withColumn("dst_day", F.lit(False))
+    got = {r.detector: (r.score, r.evidence) for r in detectors.scores(df).collect()}
+    assert got["hp_temp_slope"][0] == 0.0 and got["hp_temp_slope"][1]["corr"] is None
+
+
+def test_ranks_with_heavy_ties(spark):
+    """A score that most rows have, beside others: parts of unlike size."""
+    rng = np.random.default_rng(5)
+    s = np.where(rng.random(1500) < 0.6, 0.0, np.round(rng.random(1500), 2))
+    y = (rng.random(1500) < 0.3 + 0.3 * s).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"g": "x", "y": y, "score": s, "mp_id": range(1500)}))
+    assert abs(metrics.roc_auc(df, ["g"]).first().auc - metrics.auc_of(y, s)) < 1e-12
+    order = np.lexsort((np.arange(1500), -s))
+    precision = np.cumsum(y[order]) / np.arange(1, 1501)
+    assert abs(metrics.average_precision(df, ["g"]).first().ap - precision[y[order] == 1].mean()) < 1e-12
+    placed = {r.mp_id: r.share for r in metrics.percentile_in_pool(df.select("g", "mp_id", "score"), df, ["g"]).collect()}
+    assert all(abs(placed[i] - (s < s[i]).mean()) < 1e-12 for i in range(1500))
+
+
 def test_auc_properties(spark):
     df = spark.createDataFrame([("a", float(i % 2), 1.0, i) for i in range(10)] + [("b", 1.0, 2.0, 1), ("b", 0.0, 1.0, 2), ("b", None, 5.0, 3), ("c", 1.0, 1.0, 1)], "g string, y double, score double, mp_id long")
     got = {r.g: r.auc for r in metrics.roc_auc(df, ["g"]).collect()}
@@ -153,6 +176,8 @@ def test_score_cache(spark, tmp_path):
     known = spark.createDataFrame([(1, "a", 1.0)], "mp_id long, detector string, score double")
     known.write.parquet(f"{tmp_path}/known")
     meters = spark.createDataFrame([(1,), (2,)], "mp_id long")
+    first = evaluate.cached_scores(f"{tmp_path}/none", meters, spark.createDataFrame([("a",)], "detector string"), lambda m: m.select("mp_id", F.explode("detectors").alias("detector"), F.lit(7.0).alias("score")), f"{tmp_path}/first")
+    assert sorted(map(tuple, first.collect())) == [(1, "a", 7.0), (2, "a", 7.0)]
     out = evaluate.cached_scores(f"{tmp_path}/known", meters, spark.createDataFrame([("a",)], "detector string"), lambda m: m.select("mp_id", F.lit("a").alias("detector"), F.lit(5.0).alias("score")), f"{tmp_path}/new")
     assert sorted(map(tuple, out.collect())) == [(1, "a", 1.0), (2, "a", 5.0)]
 
@@ -195,6 +220,25 @@ def test_convert_once(spark, tmp_path):
     assert load_csv.classify(spark, str(tmp_path))["load"][0].endswith("d.csv")
 
 
+def test_convert_again(spark, tmp_path):
+    """By force, or where the file has changed, a file's rows are replaced; a bad one leaves what was there; a stray separator shifts nothing."""
+    path, out = load_file(tmp_path / "d.csv"), str(tmp_path / "out")
+    raw_store.convert(spark, [path], out)
+    assert raw_store.convert(spark, [path], out, force=True) == [path] and raw_store.read_raw(spark, out).count() == 3
+    load_file(tmp_path / "d.csv", rows=5)
+    assert raw_store.convert(spark, [path], out) == [path] and raw_store.read_raw(spark, out).count() == 5
+    other = load_file(tmp_path / "e.csv", date="02.10.2023")
+    raw_store.convert(spark, [path, other], out)
+    assert sorted(r.ym for r in raw_store.read_raw(spark, out).select("ym").distinct().collect()) == ["2023-09", "2023-10"]
+    load_file(tmp_path / "e.csv", date="31.02.2023")
+    with pytest.raises(ValueError):
+        raw_store.convert(spark, [other], out)
+    assert raw_store.read_raw(spark, out).count() == 8
+    text = (tmp_path / "d.csv").read_text(encoding="utf-8").split("\n")
+    (tmp_path / "f.csv").write_text("\n".join([*text[:2], text[2] + ";stray;x", *text[3:]]), encoding="utf-8")
+    assert load_csv.layout_of(spark, str(tmp_path / "f.csv")).n_slots == 96
+
+
 def test_kinds():
     assert [load_csv.kind_of(h) for h in ("MP ID;OBIS;Datum;00:15", "MP ID;Zählpunktbezeichnung", "Zählpunkt;GPartner", "GP-Nr; PV", "x")] == ["load", "mpid_map", "zaehler_gp", "gigi", "unknown"]
 
