@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df computed now and kept on the executors' disks for the next few plans, until dropped().
+
+    Its lineage stays, so a lost executor's part is computed again: what df is made of
+    must be there as long, and must come out alike. For tables without long texts.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def dropped(df: DataFrame) -> None:
-    """Deletes the files of a stored() table that no later plan reads."""
+    """Lets go of a held() or deletes the files of a stored() table that no later plan reads."""
+    if df.storageLevel != StorageLevel.NONE:
+        df.unpersist()
+        return
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, kept, released, stored, unused, values
+from .common import bounded_batches, dropped, held, kept, released, stored, unused, values
 from .components import components
 
 SHINGLE = 5
@@ -40,6 +40,8 @@ STAR_ROUNDS, WORTH = 6, 100
 PIVOTS = 8
 #: Of the elements a class is listed under, so many are known where its pairs are looked for.
 KNOWN = 64
+#: As many where pairs that have been found are looked at again, before their texts are.
+KNOWN_OF_PAIR = 256
 #: What comparing two sets costs, in entries emitted.
 COMPARE = 2
 
@@ -253,25 +255,44 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent)) - F.ceil(percent * F.greatest(n, m) / 100) + 1
 
 
+def _known(entries: DataFrame, most: int) -> DataFrame:
+    """entries (sig, class, n, weight) -> class, n, lists (their sigs), elements (names of the elements they stand for), rest.
+
+    Of each class the first lists are known, ``most`` elements at most; rest: how many elements are not.
+    """
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["weight"])
+    listed = entries.groupBy("class", "n").agg(F.sort_array(F.collect_list(F.struct("sig", "weight"))).alias("all"))
+    listed = listed.select("class", "n", total(F.col("all")).alias("total"), F.slice("all", 1, most).alias("all"))
+    listed = listed.withColumn("upto", F.aggregate("all", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["weight"]))))
+    listed = listed.withColumn("k", F.array_size(F.filter("upto", lambda x: x <= most)) - 1)
+    named = F.flatten(F.transform(F.slice("all", 1, F.col("k")), lambda x: F.transform(F.sequence(F.lit(1).cast("long"), x["weight"]), lambda i: F.xxhash64(x["sig"], i))))
+    return listed.select("class", "n", F.transform(F.slice("all", 1, F.col("k")), lambda x: x["sig"]).alias("lists"), named.alias("elements"), (F.col("total") - F.get("upto", F.col("k"))).alias("rest"))
+
+
+def _enough(a: str, b: str, light: int, percent: int) -> Column:
+    """Whether the elements that are known to be shared, with all that are not known, are as many as a pair needs (see _needed()). a, b: the columns' ends."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return (F.least(n, m) <= light) | (F.size(F.array_intersect(f"elements{a}", f"elements{b}")) + F.col(f"rest{a}") + F.col(f"rest{b}") >= _needed(n, m, percent))
+
+
+def _promising(pairs: DataFrame, known: DataFrame, light: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that may link by what is known of their lists; far fewer texts are compared."""
+    end = lambda x: known.select(F.col("class").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "elements", "rest")))
+    return pairs.join(end("a"), "a").join(end("b"), "b").filter(_enough("_a", "_b", light, percent)).select("a", "b")
+
+
 def _undecided(entries: DataFrame, light: int, percent: int) -> DataFrame:
     """entries (sig, class, n, weight, label) -> a, b: pairs of classes with different labels that may link, about once each.
 
     A row carries the first lists of its class, KNOWN elements at most. A pair comes of
-    the first list that both stand in, and only if the elements known to be shared,
-    with all that are not known, are as many as the pair needs (see _needed()). Lists
-    that are not known make a pair come again or be compared in vain; none is left out.
+    the first list that both stand in, and only if it has _enough(). Lists that are not
+    known make a pair come again or be compared in vain; none is left out.
     """
-    listed = entries.groupBy("class").agg(F.sort_array(F.collect_list(F.struct("sig", "weight"))).alias("all"))
-    listed = listed.select("class", F.aggregate("all", F.lit(0).cast("long"), lambda a, x: a + x["weight"]).alias("held"), F.slice("all", 1, KNOWN).alias("all"))
-    listed = listed.withColumn("upto", F.aggregate("all", F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["weight"]))))
-    listed = listed.withColumn("k", F.array_size(F.filter("upto", lambda x: x <= KNOWN)) - 1)
-    elements = F.flatten(F.transform(F.slice("all", 1, F.col("k")), lambda x: F.transform(F.sequence(F.lit(1).cast("long"), x["weight"]), lambda i: F.xxhash64(x["sig"], i))))
-    listed = listed.select("class", F.transform(F.slice("all", 1, F.col("k")), lambda x: x["sig"]).alias("known"), elements.alias("elements"), (F.col("held") - F.get("upto", F.col("k"))).alias("rest"))
-    rows = entries.drop("weight").join(listed, "class").withColumn("before", F.filter("known", lambda x: x < F.col("sig"))).drop("known")
+    rows = entries.drop("weight").join(_known(entries, KNOWN).drop("n"), "class").withColumn("before", F.filter("lists", lambda x: x < F.col("sig"))).drop("lists")
     one = rows.select("sig", *(F.col(x).alias(f"{x}_a") for x in ("class", "n", "label", "elements", "rest", "before")))
     near = (F.col("class_a") < F.col("class")) & (F.col("label") != F.col("label_a")) & _close(F.col("n"), F.col("n_a"), percent)
-    may = (F.least("n", "n_a") <= light) | (F.size(F.array_intersect("elements", "elements_a")) + F.col("rest") + F.col("rest_a") >= _needed(F.col("n"), F.col("n_a"), percent))
-    return rows.join(one, "sig").filter(near & ~F.arrays_overlap("before", "before_a") & may).select(F.col("class_a").alias("a"), F.col("class").alias("b"))
+    met = rows.join(one, "sig").filter(near & ~F.arrays_overlap("before", "before_a") & _enough("", "_a", light, percent))
+    return met.select(F.col("class_a").alias("a"), F.col("class").alias("b"))
 
 
 def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
@@ -284,7 +305,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     counted = stored(own.select("text").mapInArrow(_count(size), "sig long, n long, all boolean"), "shingle-counts")
     total = counted.filter("all").agg(F.sum("n")).first()[0] or 0
     counts = counted.filter("not all").groupBy("sig").agg(F.sum("n").alias("n"))
-    counts = stored(counts, "counts")
+    counts = held(counts)
     # The least count that no more than COMMON shingles reach: found from how many have which count, without sorting them.
     by_count = sorted(((r["n"], r["many"]) for r in counts.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True)
     reached = np.cumsum([many for _, many in by_count] or [0])
@@ -298,13 +319,13 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     shared = spark.sparkContext.broadcast((hashes[by_hash], rank[by_hash]))  # COMMON entries at most, 12 bytes each
     squares = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
     light = boundary(1 + max(0.0, squares - squared) / max(total, 1), percent)  # of lists of shingles that are not ordered last
-    dropped(counted)
     dropped(counts)
+    dropped(counted)
 
     sets = own.mapInArrow(_sets(size, percent, light, shared), f"doc {kind}, mark long, n long, digest binary, sigs array<long>")
     sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
     copies = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("rows"))
-    copies = stored(copies.filter("rows > 1").drop("rows"), "copies")
+    copies = held(copies.filter("rows > 1").drop("rows"))
     classes = sets.select("row", "doc", "mark", "n", "digest").join(copies, "digest", "left")
     classes = stored(classes.select("row", "doc", "mark", "n", F.coalesce("first", "row").alias("class")), "classes")
     dropped(copies)
@@ -314,25 +335,28 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     beside = Window.partitionBy("sig").orderBy("row")
     lists = entries.select("sig", "row", F.lag("row").over(beside).alias("before"), F.lead("row").over(beside).alias("after"))
     lists = lists.filter("before is not null or after is not null").join(classes.select("row", "class", "n"), "row")
-    lists = stored(lists.select("sig", "class", "n").distinct(), "lists")
-    dropped(sets)
+    lists = held(lists.select("sig", "class", "n").distinct())
     released(spark)
     # Lists with the same members (all shingles of a passage, say) become one, with their number as its weight.
     member = lambda seed: F.bit_xor(F.xxhash64("class", F.lit(seed)))
     alike = lists.groupBy("sig").agg(member(1).alias("x"), member(2).alias("y"), F.count("*").alias("k")).filter("k > 1")
     same = Window.partitionBy("x", "y", "k")
-    alike = stored(alike.select("sig", F.min("sig").over(same).alias("list"), F.count("*").over(same).alias("weight")), "alike")
+    alike = held(alike.select("sig", F.min("sig").over(same).alias("list"), F.count("*").over(same).alias("weight")))
     each = lists
     lists = each.join(alike, "sig").groupBy(F.col("list").alias("sig"), "class", "n").agg(F.first("weight").alias("weight"))
     lists = stored(lists, "merged-lists")
-    dropped(each)
-    dropped(alike)
+    for df in (each, alike, sets):
+        dropped(df)
     released(spark)
 
     # The text of one document of each class that stands in a list.
     listed = lists.select("class").distinct().join(classes.filter("row = class"), "class").select("class", F.col("doc").alias("of"), F.col("mark").alias("marked"))
     texts = own.join(listed, own["doc"].eqNullSafe(listed["of"]) & (own["mark"] == listed["marked"]))
-    texts = stored(texts.select("class", "text").dropDuplicates(["class"]), "texts")
+    texts = texts.select("class", "text")
+    if classes.groupBy("doc", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count():
+        texts = texts.dropDuplicates(["class"])  # rows that repeat id and text
+    texts = stored(texts, "texts")
+    known_lists = stored(_known(lists, KNOWN_OF_PAIR).drop("lists"), "known-lists")
     released(spark)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
@@ -347,17 +371,18 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         now = now.select("sig", "class", "n", "weight", known[0].alias("label"), known[1].alias("members"))
         if last:
             heads = now.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("sig")
-            open_lists = stored(now.join(heads, "sig", "left_semi").select("sig", "class", "n", "weight", "label"), "open-lists")
+            open_lists = held(now.join(heads, "sig", "left_semi").select("sig", "class", "n", "weight", "label"))
             pairs, done = _undecided(open_lists, light, percent), [open_lists]
         else:
             # The pivots are of the largest component in the list, others each round.
             pivot = lambda k: F.min(F.struct(-F.col("members"), F.xxhash64("class", F.lit(turn * PIVOTS + k)).alias("mixed"), "class", "n", "label"))
             heads = now.groupBy("sig").agg(F.array(*(pivot(k) for k in range(PIVOTS))).alias("pivots"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
             heads = heads.select("sig", F.explode(F.array_distinct("pivots")).alias("pivot"))
-            heads = stored(heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")).distinct(), "pivots")
+            heads = heads.select("sig", F.col("pivot.class").alias("a"), F.col("pivot.n").alias("an"), F.col("pivot.label").alias("alabel")).distinct()
             different = (F.col("label") != F.col("alabel")) & _close(F.col("n"), F.col("an"), percent)
-            pairs, done = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")), [heads]
-        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+            pairs, done = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")), []
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = held(_promising(pairs, known_lists, light, percent))
         released(spark)
         found = verified(pairs, f"links-{turn}")
         released(spark)
@@ -379,8 +404,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
             break
         turn += 1
         last = turn == STAR_ROUNDS or linked * WORTH < compared
-    dropped(lists)
-    dropped(texts)
+    for df in (lists, texts, known_lists):
+        dropped(df)
     if labels is None:
         return classes.select("doc", "mark", "n", F.col("class").alias("component"))
     return classes.join(labels, classes["class"] == labels["node"], "left").select("doc", "mark", "n", F.coalesce("component", "class").alias("component"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, kept, stored, unused, values, word_count
+from .common import bounded_batches, dropped, held, kept, stored, unused, values, word_count
 
 MIN_WORDS = 10
 LONG_LINE = 50
@@ -133,15 +133,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     place = F.struct(F.isnull("doc").alias("none"), "doc", "mark", F.col("pos").alias("start"))
-    pieces = stored(_pieces(own), "pieces")
-    often = stored(pieces.filter("many <= 2").groupBy("piece").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-windows")
+    pieces = held(_pieces(own))
+    often = held(pieces.filter("many <= 2").groupBy("piece").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     chunked = pieces.filter("many > 2")
     chunk_often = chunked.groupBy("piece").agg(F.count("*").alias("n"), F.min(place).alias("at")).filter("n > 1").select(F.col("piece").alias("of"), "at")
-    chunk_often = stored(chunk_often, "repeated-chunks")
+    chunk_often = held(chunk_often)
     is_first = F.col("doc").eqNullSafe(F.col("at.doc")) & (F.col("mark") == F.col("at.mark")) & (F.col("pos") == F.col("at.start"))
     chunk_met = chunked.join(chunk_often, F.col("piece") == F.col("of")).select("doc", "mark", "pos", "many", is_first.alias("first"))
     met = pieces.filter("many <= 2").join(often, "piece").select("doc", "mark", "pos", "many", F.lit(True).alias("first")).unionByName(chunk_met)
-    met = stored(met.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "many", "first")).alias("met")), "met")
+    met = held(met.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "many", "first")).alias("met")))
     for done in (pieces, often, chunk_often):
         dropped(done)
     with_text = own.filter("text is not null").join(met.select(F.col("doc").alias("of"), F.col("mark").alias("marked"), "met").hint("merge"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
