@@ -50,7 +50,8 @@ def held(df: DataFrame) -> DataFrame:
     """df computed now and kept on the executors' disks for the next few plans, until dropped().
 
     Its lineage stays, so a lost executor's part is computed again: what df is made of
-    must be there as long, and must come out alike. For tables without long texts.
+    must be there as long, and must come out alike. Nothing is written as files that a
+    task has to create in the shared folder.
     """
     df = df.persist(StorageLevel.DISK_ONLY)
     df.count()

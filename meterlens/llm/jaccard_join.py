@@ -302,7 +302,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
-    counted = stored(own.select("text").mapInArrow(_count(size), "sig long, n long, all boolean"), "shingle-counts")
+    counted = held(own.select("text").mapInArrow(_count(size), "sig long, n long, all boolean"))
     total = counted.filter("all").agg(F.sum("n")).first()[0] or 0
     counts = counted.filter("not all").groupBy("sig").agg(F.sum("n").alias("n"))
     counts = held(counts)
@@ -355,14 +355,14 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     texts = texts.select("class", "text")
     if classes.groupBy("doc", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").limit(1).count():
         texts = texts.dropDuplicates(["class"])  # rows that repeat id and text
-    texts = stored(texts, "texts")
-    known_lists = stored(_known(lists, KNOWN_OF_PAIR).drop("lists"), "known-lists")
+    texts = held(texts)
+    known_lists = held(_known(lists, KNOWN_OF_PAIR).drop("lists"))
     released(spark)
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
         right = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
         whole = right.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
-        return stored(whole.mapInArrow(_links(size, percent), "a long, b long"), name)
+        return held(whole.mapInArrow(_links(size, percent), "a long, b long"))
 
     stars, labels, turn, last = None, None, 0, False
     while True:
@@ -384,11 +384,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = held(_promising(pairs, known_lists, light, percent))
         released(spark)
-        found = verified(pairs, f"links-{turn}")
+        found = verified(pairs)
         released(spark)
         compared, linked = pairs.count(), found.count()
-        for df in [*done, pairs]:
-            dropped(df)
         if linked:
             # What was linked before is one star for each component.
             every = found if stars is None else found.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -399,7 +397,8 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
                     dropped(df)
             stars, labels = new_stars, new_labels
             released(spark)
-        dropped(found)
+        for df in [*done, pairs, found]:
+            dropped(df)
         if last:
             break
         turn += 1
@@ -420,7 +419,7 @@ def similarity_components(docs: DataFrame, id_col: str = "doc_id", text_col: str
     table gives an empty result; other columns are ignored.
     """
     joined = _labelled(docs, id_col, text_col, size, percent)
-    least = stored(joined.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "least")
+    least = held(joined.groupBy("component").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"))
     return joined.join(least, "component", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "doc").alias("component_id"))
 
 
@@ -431,16 +430,16 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with that id and text one. Documents without shingles all stay; an empty table
     stays empty.
     """
-    joined = stored(_labelled(docs, id_col, text_col, size, percent).filter("n > 0"), "labelled")
+    joined = held(_labelled(docs, id_col, text_col, size, percent).filter("n > 0"))
     place = F.struct(F.isnull("doc").alias("none"), "doc", "mark")
-    groups = stored(joined.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"), "groups")
+    groups = held(joined.groupBy("component").agg(F.min(place).alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows"))
     members = joined.join(groups, "component")
     is_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("mark") == F.col("first.mark"))
     of, mark, row = (unused(docs, x) for x in ("__of", "__mark", "__row"))
-    gone = stored(members.filter(~is_first).select("doc", "mark").distinct().toDF(of, mark), "gone")
+    gone = held(members.filter(~is_first).select("doc", "mark").distinct().toDF(of, mark))
     same = lambda df, other: df[id_col].eqNullSafe(other[of]) & (F.xxhash64(df[text_col]) == other[mark])
     stay = docs.join(gone, same(docs, gone), "left_anti")
-    twice = stored(members.filter(is_first).groupBy("doc", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows").toDF(of, mark), "repeated-rows")
+    twice = held(members.filter(is_first).groupBy("doc", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows").toDF(of, mark))
     if not twice.limit(1).count():
         return stay
     columns = [F.col(c) for c in docs.columns]
