@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, held, kept, unused, values, word_count
+from .common import bounded_batches, dropped, held, kept, released, stored, unused, values, word_count
 
 MIN_WORDS = 10
 LONG_LINE = 50
@@ -144,18 +144,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = held(met.groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "many", "first")).alias("met")))
     for done in (pieces, often, chunk_often):
         dropped(done)
+    released(docs.sparkSession)
     with_text = own.filter("text is not null").join(met.select(F.col("doc").alias("of"), F.col("mark").alias("marked"), "met").hint("merge"), F.col("doc").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("marked")))
     chunks = with_text.select("doc", "mark", "text", "met").mapInArrow(_cut, f"doc {kind}, mark long, pos int, many int, words array<int>, sum long, chunk string")
-    chunks = held(chunks)
+    chunks = stored(chunks, "chunks")
+    dropped(met)
+    released(docs.sparkSession)
     groups = chunks.groupBy("sum", "chunk").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    groups = held(groups.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"))  # rows that repeat id and text are one document
+    groups = stored(groups.filter(~F.col("first").eqNullSafe(F.col("last"))).drop("last"), "chunk-groups")  # rows that repeat id and text are one document
     again = chunks.join(groups, ["sum", "chunk"])
     stays = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("mark") == F.col("first.mark")) & (F.col("pos") == F.col("first.start"))
     copies = again.filter(~stays).groupBy("doc", "mark").agg(F.collect_set(F.struct("pos", "words")).alias("copies"))
     spans = copies.mapInArrow(_joined(min_words), f"doc {kind}, mark long, spans array<struct<start:int,end:int>>")
-    spans = held(spans.filter("size(spans) > 0"))
-    for done in (met, chunks, groups):
-        dropped(done)
+    spans = stored(spans.filter("size(spans) > 0"), "spans")
+    dropped(chunks)
+    dropped(groups)
+    released(docs.sparkSession)
     return spans
 
 
