@@ -35,7 +35,7 @@ COMMON = 1_500_000
 #: Shingles counted at a time, and how often one must occur among them to be reported.
 COUNT_CHUNK, COUNT_LEAST = 4_000_000, 2
 #: Rounds with pivots, at most; another one follows only while one comparison in WORTH of the last one linked.
-STAR_ROUNDS, WORTH = 6, 100
+STAR_ROUNDS, WORTH = 6, 20
 #: Pivots of a list in a round.
 PIVOTS = 8
 #: Of the elements a class is listed under, so many are known where its pairs are looked for.
