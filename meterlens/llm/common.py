@@ -6,6 +6,7 @@ import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,8 +80,11 @@ def kept(name=None, make=None):
     Objects of other names go: a worker process runs tasks of many operators, and what one
     of them keeps would take memory from the next. Without a name everything goes.
     """
-    for other in [k for k in _kept if k != name]:
+    others = [k for k in _kept if k != name]
+    for other in others:
         del _kept[other]
+    if others or name is None:
+        pa.default_memory_pool().release_unused()
     if name is not None and name not in _kept:
         _kept[name] = make()
     return _kept.get(name)
