@@ -7,10 +7,12 @@ and for which field holds a date; most rows decide on both.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import german_date, year_month
@@ -59,8 +61,14 @@ class Layout:
     widths: list[int]  # all that occur
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).withColumn("value", F.regexp_replace("value", f"^{BOM}|\r$", ""))
+def _separators(x) -> Column:
+    return F.octet_length(x) - F.octet_length(F.replace(x, F.lit(";")))
+
+
+def _upto_first_like(line: str, pattern: str, fields: int = 12) -> Column:
+    """A line up to the first field that looks like the pattern; empty: none of the first ``fields`` does."""
+    field = pattern.removeprefix("^").removesuffix("$") + (r"(?=\x20*(?:;|$))" if pattern.endswith("$") else "")
+    return F.regexp_extract(line, rf"^(?:[^;]*;){{0,{fields - 1}}}?\x20*{field}", 0)
 
 
 def _header(spark: SparkSession, path: str) -> str:
@@ -79,11 +87,12 @@ def layout_of(spark: SparkSession, path: str) -> Layout:
     if "datum" not in meta:
         raise ValueError(f"{path}: no Datum column before HH:MM columns in {names[:8]}")
     after = meta[meta.index("datum") + 1 :]
-    rows = _lines(spark, path).filter(F.col("value") != header).filter(F.trim("value") != "").select(F.split("value", ";").alias("f"))
-    fits = lambda pattern: lambda x: F.trim(x).rlike(pattern)
-    looks = {k: F.array_position(F.transform(F.slice("f", 1, 12), fits(p)), True) for k, p in PATTERNS.items()}
-    seen = rows.select(F.size("f").alias("width"), *(v.cast("int").alias(k) for k, v in looks.items()))
-    facts = seen.agg(F.collect_set("width").alias("widths"), F.mode("width", deterministic=True).alias("usual"), *(F.mode(F.when(F.col(k) > 0, F.col(k))).alias(k) for k in PATTERNS)).first()
+    rows = spark.read.text(path).filter((F.col("value") != header) & (F.trim("value") != ""))
+    seen = rows.select((_separators("value") + 1).alias("width"), *(_upto_first_like("value", p).alias(k) for k, p in PATTERNS.items()))
+    seen = seen.select("width", *(F.when(F.col(k) != "", _separators(k) + 1).otherwise(0).alias(k) for k in PATTERNS))
+    counts = seen.groupBy("width", *PATTERNS).agg(F.count("*").alias("n")).collect()  # a row for each shape that lines have
+    usual = lambda k: max(((sum(r["n"] for r in counts if r[k] == v), -v) for v in {r[k] for r in counts} if v), default=(0, 0))[1] * -1
+    facts = {"widths": {r["width"] for r in counts}, "usual": usual("width")} | {k: usual(k) for k in PATTERNS}
     if not facts["widths"]:
         raise ValueError(f"{path}: no data rows")
     if not facts["datum"]:
@@ -107,16 +116,26 @@ def layout_of(spark: SparkSession, path: str) -> Layout:
 
 
 def read_load(spark: SparkSession, path: str, layout: Layout | None = None) -> DataFrame:
-    """mp_id, zp, obis, plz, datum (text), d, ym, n_slots, slots of a load file. Short rows end in nulls; a value that is no number fails the read."""
+    """mp_id, zp, obis, plz, datum (text), d, ym, n_slots, slots of a load file. Short rows end in nulls; a value that is no number fails the read.
+
+    Spark's CSV reader parses rows of the usual width straight to numbers. What it calls
+    malformed (another width, no number) is split and converted field by field instead.
+    """
     lay = layout or layout_of(spark, path)
-    header = _header(spark, path)
-    rows = _lines(spark, path).filter((F.col("value") != header) & (F.trim("value") != "")).select(F.split("value", ";").alias("f"))
-    at = lambda i: F.nullif(F.trim(F.try_element_at("f", F.lit(i + 1))), F.lit(""))
-    meta = {name: at(i) for i, name in enumerate(lay.meta)}
-    none = F.lit(None).cast("string")
     n = len(lay.meta)
-    slots = F.transform(F.sequence(F.lit(n + 1), F.lit(n + MAX_SLOTS)), lambda i: F.when(i <= n + lay.n_slots, F.nullif(F.trim(F.try_element_at("f", i)), F.lit("")).cast("double")))
-    out = rows.select(meta["mp_id"].cast("long").alias("mp_id"), meta.get("zp", none).alias("zp"), meta["obis"].alias("obis"), meta.get("plz", none).alias("plz"), meta["datum"].alias("datum"), F.lit(lay.n_slots).alias("n_slots"), slots.alias("slots"))
+    metas, slots = [f"meta_{i}" for i in range(n)], [f"slot_{i}" for i in range(lay.n_slots)]
+    schema = ", ".join([*(f"{c} string" for c in metas), *(f"{c} double" for c in slots), *(["after string"] if lay.trailing else []), "line string"])
+    form = {"sep": ";", "quote": "", "escape": "", "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "line"}
+    rows = spark.read.schema(schema).options(**form).csv(path)
+    heads = [x.strip() or None for x in itertools.takewhile(lambda x: not CLOCK.fullmatch(x.strip()), _header(spark, path).split(";"))]
+    is_header = functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(x)) for c, x in zip(metas, heads)))
+    meta = dict(zip(lay.meta, (F.col(c) for c in metas)))
+    none = F.lit(None).cast("string")
+    fields = F.split("line", ";")
+    each = F.transform(F.sequence(F.lit(n + 1), F.lit(n + MAX_SLOTS)), lambda i: F.when(i <= n + lay.n_slots, F.nullif(F.trim(F.try_element_at(fields, i)), F.lit("")).cast("double")))
+    day = F.array(*(F.col(c) for c in slots), *[F.lit(None).cast("double")] * (MAX_SLOTS - lay.n_slots))
+    meter = F.when(~is_header, meta["mp_id"]).cast("long")
+    out = rows.filter(~is_header).select(meter.alias("mp_id"), meta.get("zp", none).alias("zp"), meta["obis"].alias("obis"), meta.get("plz", none).alias("plz"), meta["datum"].alias("datum"), F.lit(lay.n_slots).alias("n_slots"), F.when(F.col("line").isNull(), day).otherwise(each).alias("slots"))
     return out.withColumn("d", german_date("datum")).withColumn("ym", year_month("d"))
 
 

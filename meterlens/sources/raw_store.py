@@ -7,12 +7,14 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.slots import padded, to_long
+from ..operators.slots import to_long
 from .files import exists, moved, removed, stamp
 from .load_csv import Layout, layout_of, profile, read_load
 
 MAX_DIRECTIONS = 10
 UNREADABLE = "unreadable"
+#: Bytes of a load file that a task converts, and how few it may be.
+PART, LEAST_PART = 128 << 20, 16 << 20
 
 
 def _bad_date():
@@ -29,7 +31,7 @@ def _refused(bad: int) -> None:
 
 
 def _stored(rows: DataFrame) -> DataFrame:
-    return rows.select("mp_id", "zp", "obis", "plz", "d", "n_slots", padded(F.col("slots")).alias("slots"), "ym")
+    return rows.select("mp_id", "zp", "obis", "plz", "d", "n_slots", "slots", "ym")
 
 
 def converted(rows: DataFrame) -> DataFrame:
@@ -38,6 +40,11 @@ def converted(rows: DataFrame) -> DataFrame:
     return _stored(rows.filter("mp_id is not null and d is not null"))
 
 
+def _parts(spark: SparkSession, size: int) -> int:
+    """Into how many parts a load file of a size is converted: of PART bytes, or smaller ones as long as there are cores for them."""
+    return max(1, -(-size // PART), min(spark.sparkContext.defaultParallelism, size // LEAST_PART))
+
+
 def convert(spark: SparkSession, paths: list[str], out: str, force: bool = False) -> list[str]:
     """Puts load files into out/raw (by file and ym, zstd) and returns those that were converted. A file counts as done while its path, length and time stay.
 
@@ -52,12 +59,13 @@ def convert(spark: SparkSession, paths: list[str], out: str, force: bool = False
         mark = stamp(spark, path)
         if mark in done and not force:
             continue
+        size = int(mark.rsplit("|", 2)[1])
         own = f"f{hashlib.md5(mark.split('|')[0].encode()).hexdigest()}"
         aside = f"{out}/raw/_aside-{own}"
         rows = read_load(spark, path).filter((F.col("mp_id").isNotNull() & F.col("d").isNotNull()) | _bad_date())
         rows = _stored(rows.withColumn("ym", F.when(_bad_date(), UNREADABLE).otherwise(F.col("ym"))))
-        # Dealt by meter, so that a month is not one task's.
-        rows.repartition("mp_id").sortWithinPartitions("ym", "mp_id", "d").write.mode("overwrite").partitionBy("ym").option("compression", "zstd").parquet(aside)
+        # No shuffle: each part of the file is sorted and written where it is read, so that a month is not one task's.
+        rows.coalesce(_parts(spark, size)).sortWithinPartitions("ym", "mp_id", "d").write.mode("overwrite").partitionBy("ym").option("compression", "zstd").parquet(aside)
         if exists(spark, f"{aside}/ym={UNREADABLE}"):
             bad = spark.read.parquet(f"{aside}/ym={UNREADABLE}").count()
             removed(spark, aside)

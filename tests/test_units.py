@@ -220,6 +220,22 @@ def test_convert_once(spark, tmp_path):
     assert load_csv.classify(spark, str(tmp_path))["load"][0].endswith("d.csv")
 
 
+def test_load_rows_of_all_kinds(spark, tmp_path):
+    """A header that comes again is no row, a short row ends in nulls, what follows the usual width is left out; a value that is no number fails."""
+    path = tmp_path / "g.csv"
+    load_file(path, rows=4)
+    head, first, second, third, fourth = path.read_text(encoding="utf-8").rstrip("\n").split("\n")
+    short = ";".join(second.split(";")[:10])
+    path.write_text("\r\n".join([head, first, short, head.lstrip("\ufeff"), "", third + "x;y", " " + fourth.replace(";0.01;", "; 0.01 ;")]), encoding="utf-8")
+    got = load_csv.read_load(spark, str(path)).orderBy("mp_id").collect()
+    assert [(r.mp_id, str(r.d), len(r.slots)) for r in got] == [(m, "2023-09-01", 100) for m in range(100, 104)]
+    assert [x for x in got[1].slots if x is not None] == [0.01, 0.02, 0.03, 0.04] and got[0].slots == got[2].slots == got[3].slots
+    assert load_csv.read_load(spark, str(path)).select("mp_id").count() == 4
+    path.write_text("\n".join([head, first, second.replace(";0.01;", ";0,01;"), third]), encoding="utf-8")
+    with pytest.raises(Exception, match="0,01"):
+        raw_store.convert(spark, [str(path)], str(tmp_path / "out"))
+
+
 def test_convert_again(spark, tmp_path):
     """By force, or where the file has changed, a file's rows are replaced; a bad one leaves what was there; a stray separator shifts nothing."""
     path, out = load_file(tmp_path / "d.csv"), str(tmp_path / "out")
