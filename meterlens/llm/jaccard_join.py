@@ -295,6 +295,20 @@ def _undecided(entries: DataFrame, light: int, percent: int) -> DataFrame:
     return met.select(F.col("class_a").alias("a"), F.col("class").alias("b"))
 
 
+def _common_shared(often: DataFrame):
+    """Broadcast of the hashes (sorted) and ranks of shingles (sig, n), COMMON at most, 12 bytes each; the sum of their squared counts. The driver keeps no copy."""
+    found = often.toArrow()
+    hashes, n = found["sig"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(np.float64)
+    by_hash = np.argsort(hashes)
+    rank = np.empty(len(hashes), np.int32)
+    rank[np.lexsort((hashes, n))] = np.arange(len(hashes), dtype=np.int32)
+    shared = often.sparkSession.sparkContext.broadcast((hashes[by_hash], rank[by_hash]))
+    squared = float((n * n).sum())
+    del found, hashes, n, by_hash, rank
+    pa.default_memory_pool().release_unused()
+    return shared, squared
+
+
 def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """One row per document: doc, mark (xxhash64 of its text), n, component (a number of its own)."""
     bounded_batches(docs.sparkSession)
@@ -310,13 +324,7 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     by_count = sorted(((r["n"], r["many"]) for r in counts.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True)
     reached = np.cumsum([many for _, many in by_count] or [0])
     fits = int((reached <= COMMON).sum()) if by_count else 0
-    often = counts.filter(F.col("n") >= (by_count[fits - 1][0] if fits else 1 << 62)).toArrow()
-    hashes, n = often["sig"].to_numpy().view(np.uint64), often["n"].to_numpy().astype(np.float64)
-    squared = float((n * n).sum())
-    by_hash = np.argsort(hashes)
-    rank = np.empty(len(hashes), np.int32)
-    rank[np.lexsort((hashes, n))] = np.arange(len(hashes), dtype=np.int32)
-    shared = spark.sparkContext.broadcast((hashes[by_hash], rank[by_hash]))  # COMMON entries at most, 12 bytes each
+    shared, squared = _common_shared(counts.filter(F.col("n") >= (by_count[fits - 1][0] if fits else 1 << 62)))
     squares = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
     light = boundary(1 + max(0.0, squares - squared) / max(total, 1), percent)  # of lists of shingles that are not ordered last
     dropped(counts)
