@@ -54,9 +54,13 @@ def held(df: DataFrame) -> DataFrame:
     must be there as long, and must come out alike. Nothing is written as files that a
     task has to create in the shared folder.
     """
+    return counted(df)[0]
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as held() keeps it, and its number of rows, which keeping it has found."""
     df = df.persist(StorageLevel.DISK_ONLY)
-    df.count()
-    return df
+    return df, df.count()
 
 
 def dropped(df: DataFrame) -> None:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dropped, held, kept, released, stored, unused, values
+from .common import bounded_batches, counted, dropped, held, kept, released, stored, unused, values
 from .components import components
 
 SHINGLE = 5
@@ -316,9 +316,9 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
-    counted = held(own.select("text").mapInArrow(_count(size), "sig long, n long, all boolean"))
-    total = counted.filter("all").agg(F.sum("n")).first()[0] or 0
-    counts = counted.filter("not all").groupBy("sig").agg(F.sum("n").alias("n"))
+    seen = held(own.select("text").mapInArrow(_count(size), "sig long, n long, all boolean"))
+    total = seen.filter("all").agg(F.sum("n")).first()[0] or 0
+    counts = seen.filter("not all").groupBy("sig").agg(F.sum("n").alias("n"))
     counts = held(counts)
     # The least count that no more than COMMON shingles reach: found from how many have which count, without sorting them.
     by_count = sorted(((r["n"], r["many"]) for r in counts.groupBy("n").agg(F.count("*").alias("many")).collect()), reverse=True)
@@ -328,10 +328,11 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     squares = counts.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0.0
     light = boundary(1 + max(0.0, squares - squared) / max(total, 1), percent)  # of lists of shingles that are not ordered last
     dropped(counts)
-    dropped(counted)
+    dropped(seen)
 
     sets = own.mapInArrow(_sets(size, percent, light, shared), f"doc {kind}, mark long, n long, digest binary, sigs array<long>")
     sets = stored(sets.withColumn("row", F.monotonically_increasing_id()), "sets")
+    shared.destroy()  # sets is a table now
     copies = sets.filter("n > 0").groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("rows"))
     copies = held(copies.filter("rows > 1").drop("rows"))
     classes = sets.select("row", "doc", "mark", "n", "digest").join(copies, "digest", "left")
@@ -367,10 +368,10 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     known_lists = held(_known(lists, KNOWN_OF_PAIR).drop("lists"))
     released(spark)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame) -> tuple[DataFrame, int]:
         right = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
         whole = right.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a").select("a", "b", "left", "right")
-        return held(whole.mapInArrow(_links(size, percent), "a long, b long"))
+        return counted(whole.mapInArrow(_links(size, percent), "a long, b long"))
 
     stars, labels, turn, last = None, None, 0, False
     while True:
@@ -390,11 +391,10 @@ def _labelled(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
             different = (F.col("label") != F.col("alabel")) & _close(F.col("n"), F.col("an"), percent)
             pairs, done = now.join(heads, "sig").filter(different).select("a", F.col("class").alias("b")), []
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = held(_promising(pairs, known_lists, light, percent))
+        pairs, compared = counted(_promising(pairs, known_lists, light, percent))
         released(spark)
-        found = verified(pairs)
+        found, linked = verified(pairs)
         released(spark)
-        compared, linked = pairs.count(), found.count()
         if linked:
             # What was linked before is one star for each component.
             every = found if stars is None else found.unionByName(stars.select(F.col("node").alias("a"), F.col("component").alias("b")))
@@ -447,8 +447,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = held(members.filter(~is_first).select("doc", "mark").distinct().toDF(of, mark))
     same = lambda df, other: df[id_col].eqNullSafe(other[of]) & (F.xxhash64(df[text_col]) == other[mark])
     stay = docs.join(gone, same(docs, gone), "left_anti")
-    twice = held(members.filter(is_first).groupBy("doc", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows").toDF(of, mark))
-    if not twice.limit(1).count():
+    twice, many = counted(members.filter(is_first).groupBy("doc", "mark").agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows").toDF(of, mark))
+    if not many:
         return stay
     columns = [F.col(c) for c in docs.columns]
     once = stay.join(twice, same(stay, twice), "left_semi").groupBy(F.col(id_col).alias(of), F.xxhash64(text_col).alias(mark))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, unused, word_count
+from .common import released, stored, unused, word_count
 
 REPEATS = 3
 WEIGHTS = (1, 2, 3)
@@ -153,6 +153,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key, source, size, times, many, words, n = (unused(docs, x) for x in ("__key", "__source", "__size", "__times", "__many", "__words", "__n"))
     plan = mixed(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias(key), F.col("source").alias(source), F.col("size").alias(size))
     plan = stored(plan.agg(F.sum("times").alias(times), F.count("*").alias(many)), "times")
+    released(docs.sparkSession)
     own = docs.withColumn(words, word_count(F.col(text_col)))
     same = own[id_col].eqNullSafe(plan[key]) & own[source_col].eqNullSafe(plan[source]) & (own[words] == plan[size])
     rows = own.join(plan, same)

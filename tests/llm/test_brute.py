@@ -91,6 +91,20 @@ def test_components(spark):
     assert got == {x: top(x) for x in up}
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    """The driver plans and keeps as little as it can: links that are stars already are written once, and no round only confirms the last one."""
+    tables, plain = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: tables.append(name) or plain(df, name))
+    stars = [(1, 2), (3, 1), (1, 4), (10, 11), (7, 7)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10} and tables == ["links"]
+    tables.clear()
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1} and tables == ["links", "large-star", "small-star"]
+    tables.clear()
+    assert not components.components(spark.createDataFrame([], "a long, b long")).count() and tables == ["links"]
+
+
 def test_prefix_bound():
     for n in range(3, 60):
         for m in range(n, min(n * 4 // 3, 60) + 1):
