@@ -40,14 +40,11 @@ _AFTER = (np.arange(65) > np.arange(64)[:, None]).astype(np.int16)
 
 
 class Lanes:
-    """Models of n blocks, about 130 kB each."""
+    """Models of n blocks, about 40 kB each."""
 
     def __init__(self, n: int) -> None:
         self.n, self.at = n, np.arange(n)
-        self.id1, self.id2 = np.zeros(n * _SLOTS, np.uint16), np.zeros(n * _SLOTS, np.uint16)
-        self.sure1, self.sure2 = np.zeros(n * _SLOTS, np.uint8), np.zeros(n * _SLOTS, np.uint8)
-        self.place = np.zeros(n << 16, np.uint16)  # of an id among those met, from 1
-        self.met = np.zeros(n * (BLOCK + 1), np.uint16)
+        self.slots1, self.slots2 = np.zeros(n * _SLOTS, np.uint32), np.zeros(n * _SLOTS, np.uint32)  # an id, and above it how sure
         self.many = np.zeros(n, np.int64)
         self.groups, self.within = np.zeros((n, _GROUPS + 1), np.int16), np.zeros((n * _GROUPS, 65), np.int16)
         self.odds = np.full((2, 3, n * 32), 1 << 15, np.int64)
@@ -62,26 +59,27 @@ class Lanes:
         base = self.at[:k] * _SLOTS
         self.i1 = base + ((mixed & 0xFFFFFFFF) >> 20)
         self.i2 = base + (((mixed ^ (self.before[:k] * 0x85EBCA6B)) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20)
-        self.c1, self.g1 = self.sure1[self.i1].astype(np.int64), self.id1[self.i1].astype(np.int64)
-        self.c2, self.g2 = self.sure2[self.i2].astype(np.int64), self.id2[self.i2].astype(np.int64)
+        found1, found2 = self.slots1[self.i1].astype(np.int64), self.slots2[self.i2].astype(np.int64)
+        self.c1, self.g1 = found1 >> 16, found1 & 0xFFFF
+        self.c2, self.g2 = found2 >> 16, found2 & 0xFFFF
 
     def learn(self, ids: np.ndarray) -> None:
-        for i, c, g, names, sure in ((self.i1, self.c1, self.g1, self.id1, self.sure1), (self.i2, self.c2, self.g2, self.id2, self.sure2)):
-            hit = g == ids
-            names[i] = np.where(hit | (c >= 2), g, ids)
-            sure[i] = np.where(hit, np.minimum(c + 1, 15), np.where(c >= 2, c >> 1, 1))
+        for i, c, g, slots in ((self.i1, self.c1, self.g1, self.slots1), (self.i2, self.c2, self.g2, self.slots2)):
+            stay = np.where(c >= 2, (c >> 1 << 16) + g, ids + (1 << 16))
+            slots[i] = np.where(g == ids, (np.minimum(c + 1, 15) << 16) + g, stay)
         k = len(ids)
         self.before[:k] = self.last[:k]
         self.last[:k] = ids
 
     def mix(self, which: int, own: np.ndarray) -> np.ndarray:
-        """16-bit probability that the foretold id comes, in lanes `own`. which: 0 for order 2's, 1 for order 1's."""
+        """16-bit probability that the foretold id comes, in lanes `own`. which: 0 for order 2's, 1 for order 1's.
+
+        What is foretold has come in its block, so order 0 always knows it.
+        """
         c1, c2 = self.c1[own], self.c2[own]
-        guess = (self.g1 if which else self.g2)[own]
-        first = c2 if not which else c1
-        second = np.where((c1 > 0) & (self.g1[own] == self.g2[own]), 16 + c1, c1) if not which else c2
-        third = (self.place[(own << 16) + guess] > 0) * 16 + np.maximum(c1, c2)
-        self.cells = [own * 32 + x for x in (first, second, third)]
+        first, second = (c1, c2) if which else (c2, np.where((c1 > 0) & (self.g1[own] == self.g2[own]), 16 + c1, c1))
+        base = own * 32
+        self.cells = [base + x for x in (first, second, np.maximum(c1, c2) + 16)]
         self.inputs = [_STRETCH[self.odds[which, j][c] >> 4] for j, c in enumerate(self.cells)]
         total = sum(self.weights[which, j][own] * s for j, s in enumerate(self.inputs)) >> 16
         self.p = _SQUASH[np.minimum(np.maximum(total, -2047), 2047) + 2048]
@@ -99,15 +97,14 @@ class Lanes:
     def count(self, own: np.ndarray, place: np.ndarray) -> None:
         """One more of the ids at these places (from 1)."""
         g, j = (place - 1) >> 6, (place - 1) & 63
-        self.groups[own] += _AFTER_GROUP[g]
-        self.within[own * _GROUPS + g] += _AFTER[j]
+        row = own * _GROUPS + g
+        self.groups[own] = self.groups.take(own, 0) + _AFTER_GROUP.take(g, 0)
+        self.within[row] = self.within.take(row, 0) + _AFTER.take(j, 0)
 
     def meet(self, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Gives ids that came for the first time their places."""
         place = self.many[own] + 1
         self.many[own] = place
-        self.place[(own << 16) + ids] = place
-        self.met[own * (BLOCK + 1) + place] = ids
         return place
 
 
@@ -116,6 +113,12 @@ class _Out(Lanes):
         super().__init__(n)
         self.room = 3 * BLOCK + 8
         self.words, self.used = np.zeros(n * self.room, np.uint16), np.zeros(n, np.int64)
+        self.place = np.zeros(n << 16, np.uint16)  # of an id among those met, from 1
+
+    def meet(self, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        place = super().meet(own, ids)
+        self.place[(own << 16) + ids] = place
+        return place
 
     def _narrow(self, own: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
         """Stores the interval; once it is small, puts out its leading words (cutting it where they might still change)."""
@@ -164,8 +167,14 @@ class _In(Lanes):
         super().__init__(n)
         self.words, self.room = words.reshape(-1), words.shape[1]
         self.used = np.full(n, 4)
+        self.met = np.zeros(n * (BLOCK + 1), np.uint16)  # by place
         self.code = sum(words[:, i].astype(_64) << _64(48 - 16 * i) for i in range(4))
 
+    def meet(self, own: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        place = super().meet(own, ids)
+        self.met[own * (BLOCK + 1) + place] = ids
+        return place
+
     def _narrow(self, own: np.ndarray, low: np.ndarray, size: np.ndarray) -> None:
         self.low[own], self.range[own] = low, size
         while True:
