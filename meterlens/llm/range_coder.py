@@ -6,8 +6,9 @@ last id (order 1); each yes or no is coded with a probability mixed, in the logi
 domain, from what orders 2, 1 and 0 say, with weights that learn. An id that neither
 foretells is coded by how often it has come this way (order 0), or as new.
 
-All arithmetic is on integers, so that every machine decodes alike. Blocks advance in
-step: NumPy works on the same position of up to LANES blocks at once, which keeps the
+All arithmetic is on integers, so that every machine decodes alike. This module fixes
+the format; op1 runs RangeCoder.java (see jvm_coder.py), which is held to its bytes. Blocks
+advance in step: NumPy works on the same position of up to LANES blocks at once, which keeps the
 model of a block small (see Lanes) and the number of interpreted steps low.
 """
 

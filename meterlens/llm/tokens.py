@@ -2,8 +2,11 @@
 
 The pre-tokenizer of such a vocabulary always starts a new piece at a space that
 stands between two other characters, so a text may be cut there and its pieces
-encoded one by one. Most words of a corpus come again and again; a worker keeps the
-ids of those it has met. Texts with other white space next to a space are encoded whole.
+encoded one by one. It does so as well at a line break between two such characters and
+at a comma or full stop that follows a letter or digit and stands before white space.
+Most words of a corpus come again and again; a worker keeps the ids of those it has met,
+and when there are too many, of those it has met twice. Texts with other white space next
+to a space are encoded whole.
 """
 
 from __future__ import annotations
@@ -12,10 +15,12 @@ import os
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import kept
 
-#: Words and characters that a worker remembers before it starts afresh.
+#: Words and characters that a worker remembers before it forgets the rare ones.
 WORDS_KEPT, CHARS_KEPT = 600_000, 16_000_000
 CHUNK_CHARS = 2_000_000
 
@@ -35,6 +40,21 @@ class _Places(dict):
         return n
 
 
+#: A comma or a full stop cut off the word before it.
+_MARKS = frozenset(("\0,", "\0."))
+
+
+def _marked(text: str, fine: bool) -> str:
+    """A text that falls into words at spaces; one without a space before it begins with \\0. fine: line breaks, commas and full stops begin such words, whatever stands before these two."""
+    if "\0" in text:
+        return ""
+    if fine:
+        if "\n" in text and "\n\n" not in text and "\r" not in text:
+            text = text.replace("\n", " \0\n")
+        text = text.replace(", ", " \0, ").replace(". ", " \0. ")
+    return "\0" + text
+
+
 class Encoder:
     """ids of texts: ``add_special_tokens=False``, and special tokens' strings in a text are ordinary text."""
 
@@ -51,9 +71,27 @@ class Encoder:
 
     def _forget(self) -> None:
         self.place = _Places()
-        self.starts, self.sizes, self.ids, self.odd = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, bool)
+        self.starts, self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.odd, self.mark, self.open_end = np.zeros(0, bool), np.zeros(0, bool), np.zeros(0, bool)
+        self.met = np.zeros(0, np.int64)
         self.chars = 0
 
+    def _forget_rare(self) -> None:
+        """Keeps the words met twice since the last time, if they leave half of the room."""
+        kept = np.flatnonzero(self.met > 1)
+        names = list(self.place)
+        names = [names[i] for i in kept.tolist()]
+        chars = sum(map(len, names))
+        if 2 * len(kept) > WORDS_KEPT or 2 * chars > CHARS_KEPT:
+            self._forget()
+            return
+        self.place = _Places(zip(names, range(len(names))))
+        sizes = self.sizes[kept]
+        ends = np.cumsum(sizes)
+        self.ids = self.ids[np.repeat(self.starts[kept] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        self.starts, self.sizes, self.chars = ends - sizes, sizes, chars
+        self.odd, self.mark, self.open_end, self.met = self.odd[kept], self.mark[kept], self.open_end[kept], np.zeros(len(kept), np.int64)
+
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
@@ -75,33 +113,42 @@ class Encoder:
             flat.append(ids)
             base += len(ids)
         rest = sorted(set(range(n)).difference(plain))
-        first = [i for i in rest if new[i][:1] == "\0" and new[i][1:] and not (new[i][1].isspace() or new[i][-1].isspace())]
+        first = [i for i in rest if new[i][:1] == "\0" and new[i][1:] and not new[i][-1].isspace()]
         odd[sorted(set(rest).difference(first))] = True
         for i, ids in zip(first, self._whole([new[i][1:] for i in first])):
             starts[i], sizes[i] = base, len(ids)
             flat.append(ids)
             base += len(ids)
-        self.starts, self.sizes, self.odd, self.ids = np.append(self.starts, starts), np.append(self.sizes, sizes), np.append(self.odd, odd), np.concatenate(flat)
+        mark = np.fromiter((w in _MARKS for w in new), bool, n)
+        open_end = np.fromiter((w[-1:].isalnum() and w[-1] < "\u0500" for w in new), bool, n)  # letters and digits since the first Unicode
+        self.starts, self.sizes, self.ids = np.append(self.starts, starts), np.append(self.sizes, sizes), np.concatenate(flat)
+        self.odd, self.mark, self.open_end, self.met = np.append(self.odd, odd), np.append(self.mark, mark), np.append(self.open_end, open_end), np.append(self.met, np.zeros(n, np.int64))
         self.chars += sum(map(len, new))
 
-    def _chunk(self, texts: list[str]) -> list[np.ndarray]:
+    def _chunk(self, texts: list[str], fine: bool = True) -> list[np.ndarray]:
         if len(self.place) > WORDS_KEPT or self.chars > CHARS_KEPT:
-            self._forget()
-        at, sizes = [], []
-        for text in texts:
-            words = text.split(" ") if "\0" not in text else [""]
-            words[0] = "\0" + words[0]  # the first word has no space before it
-            at += map(self.place.__getitem__, words)
-            sizes.append(len(words))
-        self._learn()
-        index = np.asarray(at, np.int64)
+            self._forget_rare()
+        lists = pc.split_pattern(pa.array([_marked(text, fine) for text in texts], pa.large_string()), " ")
+        sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
         ends = np.cumsum(sizes)
-        odd = np.add.reduceat(self.odd[index].astype(np.int64), ends - sizes) > 0
+        words = lists.flatten().dictionary_encode()
+        index = np.fromiter(map(self.place.__getitem__, words.dictionary.to_pylist()), np.int64, len(words.dictionary))[words.indices.to_numpy()]
+        self._learn()
+        self.met += np.bincount(index, minlength=len(self.met))
         per_word = self.sizes[index]
         into = np.cumsum(per_word)
         flat = self.ids[np.repeat(self.starts[index] - into + per_word, per_word) + np.arange(into[-1])]
         bounds = np.concatenate([[0], into[ends - 1]])
         out = [flat[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        odd = np.add.reduceat(self.odd[index], ends - sizes, dtype=np.int64) > 0
+        if fine:
+            wrong = self.mark[index]
+            wrong[1:] &= ~self.open_end[index[:-1]]
+            wrong[ends - sizes] = False  # a text may begin with a mark
+            again = np.flatnonzero((np.add.reduceat(wrong, ends - sizes, dtype=np.int64) > 0) & ~odd)
+            if len(again):
+                for i, ids in zip(again, self._chunk([texts[i] for i in again], False)):
+                    out[i] = ids
         for i, ids in zip(np.flatnonzero(odd), self._whole([texts[i] for i in np.flatnonzero(odd)])):
             out[i] = ids
         return out

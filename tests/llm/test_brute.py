@@ -4,14 +4,15 @@ import collections
 import gzip
 import os
 import random
-import time
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from meterlens.llm import boosting, common, components, jaccard_join, line_dedup, mixing, packing, pii, quality_rules, range_coder, token_output, tokens, toxicity, warc
+from meterlens.llm import boosting, common, components, jaccard_join, jvm_coder, line_dedup, mixing, packing, pii, quality_rules, range_coder, token_output, tokens, toxicity, warc
 
 WS = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -529,3 +530,79 @@ def test_pii_recall_and_precision(spark, texts):
         said, wrong = said + len(found), wrong + len(found)
     assert sum(a for a, _ in hit.values()) >= 0.9 * sum(b for _, b in hit.values()), hit
     assert wrong <= 0.1 * said
+
+
+@pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 9000])
+def test_jvm_coder_equals_numpy(spark, n):
+    """RangeCoder.java writes the bytes that range_coder.py writes, and reads them back."""
+    rng = np.random.default_rng(n)
+    kinds = [rng.integers(0, 65536, n), rng.zipf(1.3, n) % 50257, np.zeros(n, int), np.resize([1, 2, 3, 500], n), rng.integers(0, 2, n) * 65535]
+    want = []
+    for ids in kinds:
+        blocks = range_coder.encode_blocks(ids.astype(np.uint32))
+        want.append(b"".join(token_output.HEAD.pack(k, len(code), crc, zlib.crc32(code)) + code for k, crc, code in blocks))
+    df = spark.createDataFrame([(i, bytearray(ids.astype("<u4").tobytes())) for i, ids in enumerate(kinds)], "i int, ids binary")
+    coded = df.withColumn("blocks", jvm_coder.encoded(spark, F.col("ids")))
+    got = coded.withColumn("back", jvm_coder.decoded(spark, F.col("blocks"))).orderBy("i").collect()
+    assert [bytes(r["blocks"]) for r in got] == want
+    assert all(r["back"] == r["ids"] for r in got)
+
+
+def test_jvm_coder_checks(spark):
+    ids = (np.arange(5000) % 977).astype("<u4").tobytes()
+    blocks = spark.createDataFrame([(bytearray(ids),)], "ids binary").select(jvm_coder.encoded(spark, F.col("ids")).alias("b")).first()[0]
+    for at in (2, 9, 13, 100, len(blocks) - 1):
+        bad = bytearray(blocks)
+        bad[at] ^= 1
+        with pytest.raises(Exception, match="checksum|cut short"):
+            spark.createDataFrame([(bad,)], "b binary").select(jvm_coder.decoded(spark, F.col("b"))).collect()
+    with pytest.raises(Exception, match="65,536"):
+        spark.createDataFrame([(bytearray(np.array([1 << 16], "<u4").tobytes()),)], "b binary").select(jvm_coder.encoded(spark, F.col("b"))).collect()
+
+
+def test_runs_end_anywhere(spark, tmp_path):
+    """Documents longer than a run, ending where a run ends, and one end id each."""
+    run, word = token_output.RUN, " the"
+    own = tokens.Encoder("byte_bpe_50k.json")
+    (one,) = own.tokenizer.encode("the" + word, add_special_tokens=False).ids[1:]
+    texts = {1: "the" + word * (2 * run + 5), 2: None, 3: "the" + word * (run - 9), 4: "", 7: "the" + word * 10}
+    texts[5] = "the" + word * (-sum(1 + (x.count("the") if x else 0) for k, x in texts.items() if k < 5) % run - 2)
+    want, at = {}, 0
+    for i in sorted(texts):
+        ids = np.array(([own.tokenizer.encode("the", add_special_tokens=False).ids[0]] + [one] * (texts[i].count("the") - 1) if texts[i] else []) + [2], "<u4")
+        want[i] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    token_output.write_token_ids(docs, str(tmp_path / "ids"))
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in token_output.read_token_ids(spark, str(tmp_path / "ids")).collect()}
+    assert got == want
+
+
+def test_coding_is_fast(spark):
+    """NumPy took three and more for both directions."""
+    ids = (np.random.default_rng(1).zipf(1.3, 64 * 2048) % 50257).astype("<u4").tobytes()
+    df = spark.createDataFrame([(bytearray(ids),)], "ids binary").select(F.explode(F.array_repeat("ids", 8)).alias("ids")).coalesce(1)
+    both = df.select(F.crc32(jvm_coder.decoded(spark, jvm_coder.encoded(spark, F.col("ids")))).alias("c"))
+    both.collect()  # classes loaded, loops compiled
+    began = time.monotonic()
+    assert {r["c"] for r in both.collect()} == {zlib.crc32(ids)}
+    assert time.monotonic() - began < 8 * 64 * 2048 * 1.5e-6 + 0.5
+
+
+def test_encoder_cuts_only_between_pieces(texts, monkeypatch):
+    """Marks after letters, digits and other marks, line breaks of all kinds, forgetting between chunks."""
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 40)
+    monkeypatch.setattr(tokens, "CHUNK_CHARS", 300)
+    rng = random.Random(5)
+    parts = ["a", "Wort", "3", "é", "ß", "Ω", "日", "ה", "é", "'s", ")", '"', "...", ".", ",", ", ", ". ", "., ", "&&&. ", "\n", "\n\n", "\r\n", "\t", " ", "  ", "\0", ".\nThe", ",\n", "😀"]
+    data = [", a", ". ", ".", "x, ", "a.\nb, c. d", 'he said "no". Then, "yes", (so). e.g. 3.5, 4. x', "wait... then", "a\n, b", "a,\n. b"]
+    data += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)] + list(texts.values())
+    own = tokens.Encoder("byte_bpe_50k.json")
+    want = [x.ids for x in own.tokenizer.encode_batch([t or "" for t in data], add_special_tokens=False)]
+    for got, ids, text in zip(own.encode(data), want, data):
+        assert got.tolist() == ids, text
+    own = tokens.Encoder("byte_bpe_50k.json")
+    list(own.encode(["the word, again. and\nagain"] * 3))
+    before = set(own.place)
+    own._forget_rare()
+    assert set(own.place) == before and [x.tolist() for x in own.encode(["the word, again"])] == [own.tokenizer.encode("the word, again").ids]
